@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Least and most bytes that a bucket is meant to hold; between them, the input is dealt into BUCKETS of equal size.
 BUCKET_BYTES = (2 << 20, 128 << 20)
 BUCKETS = 2000
+#: Buckets up to which their offsets are broadcast (about 12 MB); beyond, they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: Bytes counted for each record besides its text.
 ROW_BYTES = 8
 
@@ -53,7 +55,8 @@ def shuffle_into_shards(
         .agg(F.collect_list(F.struct("tie", "row")).alias("all"))
         .select("bucket", F.shuffle(F.array_sort("all", _by_tie), seed).alias("all"))
     )
-    placed = shuffled.join(offsets, "bucket").select("before", "rows", F.posexplode("all").alias("at", "item")).select(F.col("item.row").alias("row"), "rows", (F.col("before") + F.col("at")).alias("at"))
+    # A row of three numbers for each bucket; their number is known here.
+    placed = shuffled.join(F.broadcast(offsets) if buckets <= MOST_BROADCAST else offsets, "bucket").select("before", "rows", F.posexplode("all").alias("at", "item")).select(F.col("item.row").alias("row"), "rows", (F.col("before") + F.col("at")).alias("at"))
     shard = f"((at + 1) * {shards} - 1) div rows"
     return placed.select("row.*", F.expr(shard).cast("int").alias("shard"), F.expr(f"at - ({shard}) * rows div {shards}").cast("long").alias("slot"))
 
