@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_duplicates, sharding
+from . import decontaminate, language, license_scan, line_runs, main_text, mixing, near_duplicates, secret_scan, sharding, top_k
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(_table(spark, folder, "documents"), ["doc_id"])
+    count = lambda kind: F.expr(f"size(filter(base, s -> s.kind = {kind}))").cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secret_scan.written_out("base"), 256).alias("base_sha256"), secret_scan.written_out("spans").alias("spans"))
+
+
+def op2_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(_table(spark, folder, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    out = main_text.extract_main_text(_table(spark, folder, "pages"), ["page_id", "url"])
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.filter(F.coalesce(language.fold("doc_id"), F.lit(0)) != 2))
@@ -23,6 +38,11 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language.fold("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_runs.remove_repeated_lines(_table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = decontaminate.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"])
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -36,11 +56,30 @@ def op8_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, folder, "documents"), weights=MIX).select("doc_id", "lang", "source", "copies")
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    out = license_scan.scan_licenses(_table(spark, folder, "documents"), ["doc_id"])
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shuffle_into_shards(_table(spark, folder, "documents"))
     size, crc = sharding.record_size("text"), F.crc32(F.coalesce(F.col("text"), F.lit("")))
     return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op5_language_id, op7_benchmark_decontamination, op8_mix_sources, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan,
+        op2_exact_top_k,
+        op3_minhash_near_dedup,
+        op4_html_extraction,
+        op5_language_id,
+        op6_line_dedup,
+        op7_benchmark_decontamination,
+        op8_mix_sources,
+        op9_license_scan,
+        op10_sharding,
+    )
+}
 SQL: dict[str, str] = {}
