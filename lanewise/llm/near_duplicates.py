@@ -33,6 +33,8 @@ BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Texts that a task compares at a time, and pivots that the blocks of a larger group share.
 BLOCK, PIVOTS = 512, 4
+#: Groups of more than BLOCK texts up to which a row for each is broadcast (about 30 MB); beyond, they are joined by a shuffle.
+MOST_BROADCAST = 500_000
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
 
@@ -232,7 +234,11 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that span the classes within each group of members (root, node, bag)."""
     shipped(members.sparkSession)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    sized = pinned(members.join(sizes, "root").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # One row for each group beyond a block, so BLOCK times fewer than members.
+    beyond = pinned(sizes.filter(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    near = F.broadcast if beyond.count() <= MOST_BROADCAST else lambda x: x
+    sized = members.join(near(beyond), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sized = pinned(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     work = lambda df, *by: df.select(*by, "node", "bag").groupBy(*by).applyInArrow(_search(similarity), _LINKS)
     small = sized.filter("blocks = 1")
     links = work(small, "root")
@@ -248,14 +254,14 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     held = large.select("root", "node", "block", "blocks").join(classes.withColumnRenamed("root", "class"), "node", "left").select("root", "node", "block", "blocks", F.coalesce("class", "node").alias("class"))
     counted = held.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n"))
     top = counted.groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
-    strays = pinned(held.join(top, "root").filter("class <> main").select("root", "node", "blocks"))
+    strays = pinned(held.join(near(top), "root").filter("class <> main").select("root", "node", "blocks"))
     # Texts outside of the largest class meet every block, in blocks of their own.
     number = strays.groupBy("root").agg(F.count(F.lit(1)).alias("strays"))
-    dealt = strays.join(number, "root").select("root", "node", "blocks", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.ceil(F.col("strays") / BLOCK)).cast("int").alias("part"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts"))
+    dealt = strays.join(near(number), "root").select("root", "node", "blocks", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.ceil(F.col("strays") / BLOCK)).cast("int").alias("part"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts"))
     parts = dealt.select("root", "parts").distinct()
     with_bags = dealt.join(large.select("root", "node", "bag"), ["root", "node"])
     left = with_bags.select("root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "bag")
-    right = large.join(parts, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "bag")
+    right = large.join(near(parts), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "bag")
     second = work(left.union(right), "root", "part", "block")
     return links.union(first).union(second)
 
