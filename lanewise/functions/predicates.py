@@ -15,8 +15,11 @@ from .kinds import COMPARE_OPS, Kind, as_column
 
 
 def selected(condition: Column) -> Column:
-    """The condition, with null as false. Negate only what has passed through here."""
-    return F.coalesce(condition, F.lit(False))
+    """The condition, with null as false. Negate only what has passed through here.
+
+    As a conjunction, so that a filter by it is split and the plain condition reaches the scan.
+    """
+    return condition & condition.isNotNull()
 
 
 def compare(op: str, left: Column, right: Column | int | float, kind: Kind) -> Column:

@@ -112,4 +112,5 @@ def sum_in_order(rows: DataFrame, value: Column, pos: Column, kind: Kind, only:
                     total = np.cumsum(np.concatenate([[total], batch.column(1).to_numpy()]).astype(number), dtype=number)[-1]
         yield pa.RecordBatch.from_arrays([pa.array([total], arrow)], names=["value"])
 
-    return kept.repartition(1).sortWithinPartitions("pos").mapInArrow(fold, f"value {kind.spark}")
+    folded = kept.repartition(1).sortWithinPartitions("pos").mapInArrow(fold, f"value {kind.spark}")
+    return folded.agg(F.coalesce(F.first("value"), kind.lit(0)).alias("value"))

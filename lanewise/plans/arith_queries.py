@@ -59,25 +59,25 @@ def _clamped(op: str, kind: Kind, right: str = "b") -> str:
 
 
 def register(catalog: Catalog) -> None:
-    a, b = F.col("a"), F.col("b")
+    a, b = (lambda: F.col("a")), (lambda: F.col("b"))  # there may be no session yet
     for kind in INTEGERS:
         for op in ARITH_OPS:
-            catalog.add(f"arith_{op}_{kind.name}", lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", _shown(wrapping(op, a, b, k), k).alias("value")), f"SELECT pos, {_wrapped(op, kind)} AS value FROM {_source(kind)}")
+            catalog.add(f"arith_{op}_{kind.name}", lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", _shown(wrapping(op, a(), b(), k), k).alias("value")), f"SELECT pos, {_wrapped(op, kind)} AS value FROM {_source(kind)}")
             catalog.add(
                 f"checked_{op}_{kind.name}",
-                lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", checked(op, a, b, k).alias("s")).select("pos", _shown(F.col("s.value"), k).alias("value"), "s.overflowed"),
+                lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", checked(op, a(), b(), k).alias("s")).select("pos", _shown(F.col("s.value"), k).alias("value"), "s.overflowed"),
                 f"SELECT pos, {_wrapped(op, kind)} AS value, {_over(op, kind)} AS overflowed FROM {_source(kind)}",
             )
-            catalog.add(f"saturating_{op}_{kind.name}", lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", _shown(saturating(op, a, b, k), k).alias("value")), f"SELECT pos, {_clamped(op, kind)} AS value FROM {_source(kind)}")
+            catalog.add(f"saturating_{op}_{kind.name}", lambda spark, d, k=kind, op=op: operands(spark, d, k).select("pos", _shown(saturating(op, a(), b(), k), k).alias("value")), f"SELECT pos, {_clamped(op, kind)} AS value FROM {_source(kind)}")
     for kind in (I8, I64):
         catalog.add(
             f"arith_scalar_{kind.name}",
-            lambda spark, d, k=kind: operands(spark, d, k).select("pos", wrapping("add", a, 100, k).cast("bigint").alias("sum"), checked("mul", a, 3, k)["overflowed"].alias("over"), saturating("sub", a, 100, k).cast("bigint").alias("clamped")),
+            lambda spark, d, k=kind: operands(spark, d, k).select("pos", wrapping("add", a(), 100, k).cast("bigint").alias("sum"), checked("mul", a(), 3, k)["overflowed"].alias("over"), saturating("sub", a(), 100, k).cast("bigint").alias("clamped")),
             f"SELECT pos, {_wrapped('add', kind, '100::HUGEINT')} AS sum, {_over('mul', kind, '3::HUGEINT')} AS over, {_clamped('sub', kind, '100::HUGEINT')} AS clamped FROM {_source(kind)}",
         )
-    catalog.add("checked_count", lambda spark, d: operands(spark, d, I64).agg(*[F.count_if(overflows(op, a, b, I64)).alias(op) for op in ARITH_OPS]), "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_over(op, I64)}) AS {op}" for op in ARITH_OPS) + f" FROM {_source(I64)}")
+    catalog.add("checked_count", lambda spark, d: operands(spark, d, I64).agg(*[F.count_if(overflows(op, a(), b(), I64)).alias(op) for op in ARITH_OPS]), "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_over(op, I64)}) AS {op}" for op in ARITH_OPS) + f" FROM {_source(I64)}")
     nullable = lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.expr("nullif(o_custkey % 11, 0)").alias("a"), F.expr("nullif(o_orderkey % 7, 0)").alias("b"))
-    catalog.add("arith_validity", lambda spark, d: nullable(spark, d).select("pos", wrapping("mul", a, b, I64).alias("value"), (a.isNotNull() & b.isNotNull()).alias("valid")), "SELECT pos, a * b AS value, a IS NOT NULL AND b IS NOT NULL AS valid FROM (SELECT o_orderkey AS pos, nullif(o_custkey % 11, 0) AS a, nullif(o_orderkey % 7, 0) AS b FROM orders)")
+    catalog.add("arith_validity", lambda spark, d: nullable(spark, d).select("pos", wrapping("mul", a(), b(), I64).alias("value"), (a().isNotNull() & b().isNotNull()).alias("valid")), "SELECT pos, a * b AS value, a IS NOT NULL AND b IS NOT NULL AS valid FROM (SELECT o_orderkey AS pos, nullif(o_custkey % 11, 0) AS a, nullif(o_orderkey % 7, 0) AS b FROM orders)")
     for kind, cast in ((F32, "FLOAT"), (F64, "DOUBLE")):
         catalog.add(
             f"arith_{kind.name}",

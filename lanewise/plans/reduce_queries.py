@@ -22,42 +22,44 @@ def _guarded(pick: str, none: str) -> str:
 
 
 def register(catalog: Catalog) -> None:
-    x, v, sel, pos = F.col("x"), F.col("v"), F.col("p_size") % 3 == 0, F.col("pos")
+    # Columns are made when a query is built: there may be no session yet.
+    x, v, pos = (lambda: F.col("x")), (lambda: F.col("v")), (lambda: F.col("pos"))
+    sel, chosen = (lambda: F.col("p_size") % 3 == 0), (lambda: F.col("sel"))
     for name, f, pick, none in (("min", R.minimum, "min", I32.greatest), ("max", R.maximum, "max", I32.least)):
-        catalog.add(f"reduce_{name}", lambda spark, d, f=f: parts(spark, d).agg(f(x, I32).cast("bigint").alias("result")), f"SELECT coalesce({pick}(x), {none})::BIGINT AS result FROM {PARTS}")
-        catalog.add(f"reduce_{name}_sel", lambda spark, d, f=f: parts(spark, d).agg(f(x, I32, sel).cast("bigint").alias("result")), f"SELECT coalesce({pick}(x) FILTER (WHERE p_size % 3 = 0), {none})::BIGINT AS result FROM {PARTS}")
-        catalog.add(f"reduce_{name}_empty", lambda spark, d, f=f: parts(spark, d).agg(f(x, I32, F.lit(False)).cast("bigint").alias("result")), f"SELECT {none}::BIGINT AS result")
+        catalog.add(f"reduce_{name}", lambda spark, d, f=f: parts(spark, d).agg(f(x(), I32).cast("bigint").alias("result")), f"SELECT coalesce({pick}(x), {none})::BIGINT AS result FROM {PARTS}")
+        catalog.add(f"reduce_{name}_sel", lambda spark, d, f=f: parts(spark, d).agg(f(x(), I32, sel()).cast("bigint").alias("result")), f"SELECT coalesce({pick}(x) FILTER (WHERE p_size % 3 = 0), {none})::BIGINT AS result FROM {PARTS}")
+        catalog.add(f"reduce_{name}_empty", lambda spark, d, f=f: parts(spark, d).agg(f(x(), I32, F.lit(False)).cast("bigint").alias("result")), f"SELECT {none}::BIGINT AS result")
         number = GREATEST if name == "min" else f"-{GREATEST}"
-        catalog.add(f"reduce_{name}_nan", lambda spark, d, f=f: odd_events(spark, d).agg(f(v, F64, None, pos).alias("result")), f"SELECT {_guarded(pick, number)} AS result FROM {ODD_EVENTS}")
-        catalog.add(f"reduce_{name}_f64", lambda spark, d, f=f: odd_events(spark, d).agg(f(v, F64, pos % 11 != 0, pos).alias("result")), f"SELECT {_guarded(pick, number)} AS result FROM {ODD_EVENTS} WHERE pos % 11 <> 0")
-        catalog.add(f"reduce_{name}_f64_empty", lambda spark, d, f=f: odd_events(spark, d).agg(f(v, F64, F.lit(False)).alias("result")), f"SELECT ({number})::DOUBLE AS result")
+        catalog.add(f"reduce_{name}_nan", lambda spark, d, f=f: odd_events(spark, d).agg(f(v(), F64, None, pos()).alias("result")), f"SELECT {_guarded(pick, number)} AS result FROM {ODD_EVENTS}")
+        catalog.add(f"reduce_{name}_f64", lambda spark, d, f=f: odd_events(spark, d).agg(f(v(), F64, pos() % 11 != 0, pos()).alias("result")), f"SELECT {_guarded(pick, number)} AS result FROM {ODD_EVENTS} WHERE pos % 11 <> 0")
+        catalog.add(f"reduce_{name}_f64_empty", lambda spark, d, f=f: odd_events(spark, d).agg(f(v(), F64, F.lit(False)).alias("result")), f"SELECT ({number})::DOUBLE AS result")
     big = lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.expr(BIG).alias("x"), (F.col("o_custkey") % 3 == 0).alias("sel"))
     big_sql = f"(SELECT ({BIG})::HUGEINT AS x, o_custkey % 3 = 0 AS sel FROM orders)"
-    catalog.add("sum_wrap_i64", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x, I64).alias("total")), f"SELECT {_WRAP.format('sum(x)')} AS total FROM {big_sql}")
-    catalog.add("sum_wrap_sel", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x, I64, F.col("sel")).alias("total")), f"SELECT {_WRAP.format('sum(x)')} AS total FROM {big_sql} WHERE sel")
-    catalog.add("sum_wrap_empty", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x, I64, F.lit(False)).alias("total")), "SELECT 0::BIGINT AS total")
-    catalog.add("sum_wrap_i32", lambda spark, d: parts(spark, d).agg(R.sum_wrapping(x, I32).alias("total")), f"SELECT sum(x)::BIGINT AS total FROM {PARTS}")
-    catalog.add("sum_wrap_u32", lambda spark, d: big(spark, d).agg(R.sum_wrapping((F.lit(1 << 32) - 1 - pos).cast("bigint"), U32).cast("string").alias("total")), "SELECT sum(4294967295 - o_orderkey)::VARCHAR AS total FROM orders")
-    catalog.add("sum_wrap_u64", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x.cast("decimal(20,0)") * 3 % F.lit("18446744073709551616").cast("decimal(20,0)"), U64).cast("string").alias("total")), f"SELECT (sum(x * 3 % 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS total FROM {big_sql}")
-    catalog.add("sum_f64_strict", lambda spark, d: R.sum_in_order(odd_events(spark, d), v, pos, F64, pos % 11 != 0).withColumnRenamed("value", "total"), f"SELECT list_reduce(list(v ORDER BY pos), lambda a, b: a + b) AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0 AND v IS NOT NULL")
-    catalog.add("sum_f32_strict", lambda spark, d: R.sum_in_order(odd_events(spark, d), v.cast("float"), pos, F32, pos % 11 != 0).select(F.col("value").cast("double").alias("total")), f"SELECT list_reduce(list(v::FLOAT ORDER BY pos), lambda a, b: (a + b)::FLOAT)::DOUBLE AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0 AND v IS NOT NULL")
-    catalog.add("sum_f64_fast", lambda spark, d: odd_events(spark, d).agg(F.round(R.sum_wrapping(v, F64, pos % 11 != 0), 3).alias("total")), f"SELECT round(sum(v), 3) AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0")
-    for name, only, where in (("", None, "true"), ("_sel", F.col("sel"), "sel")):
+    catalog.add("sum_wrap_i64", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x(), I64).alias("total")), f"SELECT {_WRAP.format('sum(x)')} AS total FROM {big_sql}")
+    catalog.add("sum_wrap_sel", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x(), I64, F.col("sel")).alias("total")), f"SELECT {_WRAP.format('sum(x)')} AS total FROM {big_sql} WHERE sel")
+    catalog.add("sum_wrap_empty", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x(), I64, F.lit(False)).alias("total")), "SELECT 0::BIGINT AS total")
+    catalog.add("sum_wrap_i32", lambda spark, d: parts(spark, d).agg(R.sum_wrapping(x(), I32).alias("total")), f"SELECT sum(x)::BIGINT AS total FROM {PARTS}")
+    catalog.add("sum_wrap_u32", lambda spark, d: big(spark, d).agg(R.sum_wrapping((F.lit(1 << 32) - 1 - pos()).cast("bigint"), U32).cast("string").alias("total")), "SELECT sum(4294967295 - o_orderkey)::VARCHAR AS total FROM orders")
+    catalog.add("sum_wrap_u64", lambda spark, d: big(spark, d).agg(R.sum_wrapping(x().cast("decimal(20,0)") * 3 % F.lit("18446744073709551616").cast("decimal(20,0)"), U64).cast("string").alias("total")), f"SELECT (sum(x * 3 % 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::VARCHAR AS total FROM {big_sql}")
+    catalog.add("sum_f64_strict", lambda spark, d: R.sum_in_order(odd_events(spark, d), v(), pos(), F64, pos() % 11 != 0).withColumnRenamed("value", "total"), f"SELECT list_reduce(list(v ORDER BY pos), lambda a, b: a + b) AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0 AND v IS NOT NULL")
+    catalog.add("sum_f32_strict", lambda spark, d: R.sum_in_order(odd_events(spark, d), v().cast("float"), pos(), F32, pos() % 11 != 0).select(F.col("value").cast("double").alias("total")), f"SELECT list_reduce(list(v::FLOAT ORDER BY pos), lambda a, b: (a + b)::FLOAT)::DOUBLE AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0 AND v IS NOT NULL")
+    catalog.add("sum_f64_fast", lambda spark, d: odd_events(spark, d).agg(F.round(R.sum_wrapping(v(), F64, pos() % 11 != 0), 3).alias("total")), f"SELECT round(sum(v), 3) AS total FROM {ODD_EVENTS} WHERE pos % 11 <> 0")
+    for name, only, where in (("", None, "true"), ("_sel", chosen, "sel")):
         catalog.add(
             f"sum_checked_overflow{name}",
-            lambda spark, d, only=only: big(spark, d).agg(R.sum_checked(x, I64, only).alias("s")).select("s.value", "s.overflowed"),
+            lambda spark, d, only=only: big(spark, d).agg(R.sum_checked(x(), I64, only and only()).alias("s")).select("s.value", "s.overflowed"),
             f"SELECT {_WRAP.format('sum(x)')} AS value, sum(x) NOT BETWEEN -9223372036854775808::HUGEINT AND 9223372036854775807::HUGEINT AS overflowed FROM {big_sql} WHERE {where}",
         )
-    catalog.add("sum_checked_transient", lambda spark, d: big(spark, d).agg(R.sum_checked(F.when(pos % 2 == 0, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62))), I64).alias("s")).select("s.value", "s.overflowed"), f"SELECT {_WRAP.format('sum(CASE WHEN o_orderkey % 2 = 0 THEN 4611686018427387904 ELSE -4611686018427387904 END::HUGEINT)')} AS value, false AS overflowed FROM orders")
-    catalog.add("sum_checked_narrow", lambda spark, d: big(spark, d).agg(R.sum_checked((pos % 128).cast("tinyint"), I8).alias("s")).select("s.value", "s.overflowed"), "SELECT sum(o_orderkey % 128)::BIGINT AS value, false AS overflowed FROM orders")
-    catalog.add("sum_checked_grouped", lambda spark, d: big(spark, d).groupBy((pos % 10).alias("g")).agg(R.sum_checked(x, I64).alias("s")).select("g", "s.value", "s.overflowed"), f"SELECT g, {_WRAP.format('sum(x)')} AS value, sum(x) NOT BETWEEN -9223372036854775808::HUGEINT AND 9223372036854775807::HUGEINT AS overflowed FROM (SELECT o_orderkey % 10 AS g, ({BIG})::HUGEINT AS x FROM orders) GROUP BY g")
+    catalog.add("sum_checked_transient", lambda spark, d: big(spark, d).agg(R.sum_checked(F.when(pos() % 2 == 0, F.lit(1 << 62)).otherwise(F.lit(-(1 << 62))), I64).alias("s")).select("s.value", "s.overflowed"), f"SELECT {_WRAP.format('sum(CASE WHEN o_orderkey % 2 = 0 THEN 4611686018427387904 ELSE -4611686018427387904 END::HUGEINT)')} AS value, false AS overflowed FROM orders")
+    catalog.add("sum_checked_narrow", lambda spark, d: big(spark, d).agg(R.sum_checked((pos() % 128).cast("tinyint"), I8).alias("s")).select("s.value", "s.overflowed"), "SELECT sum(o_orderkey % 128)::BIGINT AS value, false AS overflowed FROM orders")
+    catalog.add("sum_checked_grouped", lambda spark, d: big(spark, d).groupBy((pos() % 10).alias("g")).agg(R.sum_checked(x(), I64).alias("s")).select("g", "s.value", "s.overflowed"), f"SELECT g, {_WRAP.format('sum(x)')} AS value, sum(x) NOT BETWEEN -9223372036854775808::HUGEINT AND 9223372036854775807::HUGEINT AS overflowed FROM (SELECT o_orderkey % 10 AS g, ({BIG})::HUGEINT AS x FROM orders) GROUP BY g")
     for name, only, where in (("", None, "true"), ("_sel", sel, "p_size % 3 = 0")):
         catalog.add(
             f"min_max_summary{name}",
-            lambda spark, d, only=only: parts(spark, d).agg(R.min_max(x, I32, only).alias("s")).select(F.col("s.min").cast("bigint").alias("lowest"), F.col("s.max").cast("bigint").alias("highest"), "s.null_count"),
+            lambda spark, d, only=only: parts(spark, d).agg(R.min_max(x(), I32, only and only()).alias("s")).select(F.col("s.min").cast("bigint").alias("lowest"), F.col("s.max").cast("bigint").alias("highest"), "s.null_count"),
             f"SELECT coalesce(min(x), {I32.greatest})::BIGINT AS lowest, coalesce(max(x), {I32.least})::BIGINT AS highest, count(*) FILTER (WHERE x IS NULL) AS null_count FROM {PARTS} WHERE {where}",
         )
-        catalog.add(f"count_valid{name}", lambda spark, d, only=only: parts(spark, d).agg(R.count_valid(x, only).alias("n")), f"SELECT count(x) AS n FROM {PARTS} WHERE {where}")
+        catalog.add(f"count_valid{name}", lambda spark, d, only=only: parts(spark, d).agg(R.count_valid(x(), only and only()).alias("n")), f"SELECT count(x) AS n FROM {PARTS} WHERE {where}")
     _hashes(catalog)
 
 
@@ -78,15 +80,15 @@ def _hashes(catalog: Catalog) -> None:
     orders = lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("x"))
     unsigned = lambda e, bits: f"(CASE WHEN ({e}) < 0 THEN ({e})::HUGEINT + {1 << bits} ELSE ({e})::HUGEINT END)::UBIGINT"
     source = "WITH source AS (SELECT o_orderkey AS k, o_custkey AS x FROM orders) "
-    for name, kind, spark_x, sql_x, seed in (
-        ("hash64_i64", I64, F.col("x") - 500, "x - 500", 0),
-        ("hash64_seeded", I64, F.col("x"), "x", 7),
-        ("hash64_i32", I32, (F.col("x") - 500).cast("int"), "x - 500", 0),
-        ("hash64_i16_neg", I16, (F.col("x") % 1000 - 500).cast("smallint"), "x % 1000 - 500", 3),
-        ("hash64_i8_neg", I8, (F.col("x") % 256 - 128).cast("tinyint"), "x % 256 - 128", 3),
-        ("hash64_u8", U8, (F.col("x") % 256).cast("smallint"), "x % 256", 3),
+    for name, kind, text, cast, seed in (
+        ("hash64_i64", I64, "x - 500", "bigint", 0),
+        ("hash64_seeded", I64, "x", "bigint", 7),
+        ("hash64_i32", I32, "x - 500", "int", 0),
+        ("hash64_i16_neg", I16, "x % 1000 - 500", "smallint", 3),
+        ("hash64_i8_neg", I8, "x % 256 - 128", "tinyint", 3),
+        ("hash64_u8", U8, "x % 256", "smallint", 3),
     ):
-        catalog.add(name, lambda spark, d, x=spark_x, k=kind, s=seed: orders(spark, d).select("k", hash64(x, k, s).alias("h")), source + _mixed(_seeded(unsigned(sql_x, kind.bits), seed)))
+        catalog.add(name, lambda spark, d, x=text, c=cast, k=kind, s=seed: orders(spark, d).select("k", hash64(F.expr(x).cast(c), k, s).alias("h")), source + _mixed(_seeded(unsigned(text, kind.bits), seed)))
     catalog.add("hash64_hex", lambda spark, d: orders(spark, d).select("k", hex_of(hash64(F.col("x"), I64)).alias("h")), source + f"SELECT k, lower(printf('%016x', (CASE WHEN h < 0 THEN h::HUGEINT + 18446744073709551616 ELSE h::HUGEINT END)::UBIGINT)) AS h FROM ({_mixed(_seeded('x::UBIGINT', 0))})")
     catalog.add("hash64_null", lambda spark, d: parts(spark, d).select(F.col("pos").alias("k"), hash64(F.col("x"), I32, 1, 42).alias("h")), f"WITH source AS (SELECT p_partkey AS k, {NULLABLE_SIZE} AS x FROM part) SELECT k, coalesce(h, 42) AS h FROM ({_mixed(_seeded('x::UBIGINT', 1))})")
     clean = f"SELECT pos AS k, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS x FROM {ODD_EVENTS} WHERE pos % 11 <> 0"
