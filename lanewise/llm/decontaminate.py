@@ -171,15 +171,16 @@ def digest(names: list[str]) -> str:
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_text: str = "text", item: str = "item_id", portion_bytes: int = PORTION_BYTES
+    docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", item_text: str = "text", item: str = "item_id", portion_bytes: int = PORTION_BYTES, prefix: str = ""
 ) -> DataFrame:
-    """Columns ``keep`` of docs with n_words, n_hit, n_items (long), items (sorted ids as strings) and contaminated.
+    """Columns ``keep`` of docs with n_words, n_hit, n_items (long), items (sorted ids as strings) and contaminated, named with ``prefix``.
 
     A null or empty text has no words. Items that share an id count once. An empty benchmark hits nothing. Repeated rows of docs
     each give a row.
     """
     session = docs.sparkSession
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("contaminated", T.BooleanType())]
+    kinds = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items": T.ArrayType(T.StringType()), "contaminated": T.BooleanType()}
+    fields = [T.StructField(f"{prefix}{name}", kind) for name, kind in kinds.items()]
     indexes = portions(benchmark, item, item_text, portion_bytes)
     if len(indexes) == 1:
         shared = session.sparkContext.broadcast(indexes[0])
@@ -220,4 +221,4 @@ def contamination(
     united = found.groupBy(row).agg(F.max("words").alias("n_words"), F.size(union("spans")).cast("long").alias("n_hit"), union("found").alias("items"))
     united = united.select(row, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
     left = rows.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), row)
-    return left.join(united, row).select("kept.*", "n_words", "n_hit", "n_items", "items", "contaminated")
+    return left.join(united, row).select("kept.*", *[F.col(c).alias(f"{prefix}{c}") for c in kinds])

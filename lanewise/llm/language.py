@@ -194,8 +194,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return train(table["text"].to_pylist(), table["label"].to_pylist(), seed)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` with lang_pred, score (0 to 1) and rejected (score under the model's floor, or ``und``).
+def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """Columns ``keep`` with lang_pred, score (0 to 1) and rejected (score under the model's floor, or ``und``), named with ``prefix``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so are all texts if no language was learned.
     """
@@ -212,7 +212,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
 
         return compute
 
-    return map_text(docs, text, keep, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())], work)
+    return map_text(docs, text, keep, [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}rejected", T.BooleanType())], work)
 
 
 def fold(key: str, folds: int = 4):

@@ -93,16 +93,17 @@ def mix_sources(
     seed: int = 17,
     names: tuple[str, str, str, str] = ("doc_id", "text", "lang", "source"),
     domain: Column | None = None,
+    copies: str = "copies",
 ) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with all columns and ``copies`` (int), the epochs that each is taken in.
 
     The total is the fraction ``share`` of all tokens. Null ids, languages and sources are values like others; null and empty
     texts have no tokens and are taken in the whole epochs of their leaf and where the prefix passes them; repeated rows are
-    taken together; an empty table gives an empty table. A column of docs named copies is replaced.
+    taken together; an empty table gives an empty table. A column of docs of that name is replaced.
     """
     weights = weights or {}
     key, text, language, source = names
-    docs = docs.drop("copies")
+    docs = docs.drop(copies)
     col = lambda c: F.col(f"`{c}`")
     where = domain if domain is not None else domain_of(col(source))
     identity = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(key).cast("string"), F.lit("")), F.md5(F.coalesce(col(text), F.lit("")))))
@@ -128,4 +129,4 @@ def mix_sources(
     full = plan.alias("a").join(last.alias("b"), _same(list(TREE)), "left").select("a.*", "b.last")
     taken = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *place, identity.alias("identity")).alias("a").join(near(full).alias("b"), _same(list(TREE)))
     extra = F.when(_order(F.col("identity"), F.col("whole") + 1) <= F.col("last"), 1).otherwise(0)
-    return taken.select("row.*", (F.col("whole") + extra).cast("int").alias("copies")).filter("copies > 0")
+    return taken.select("row.*", (F.col("whole") + extra).cast("int").alias(copies)).filter(F.col(copies) > 0)
