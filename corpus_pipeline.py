@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import decontaminate, language, mixing, near_duplicates, sharding
-from lanewise.llm._store import written
+from lanewise.llm._store import free_name, written
 
 #: Integer weights of the mix, by language and domain; names that aren't listed weigh 1. Each document is taken once at most.
 MIX = {"domain": {"domain0": 2, "domain1": 2, "domain2": 2}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
@@ -20,8 +20,9 @@ MIX_SHARE = (9, 10)
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents whose language the model rejects go (no letter, no text, or a score under its calibrated floor)."""
     model = language.fit(docs)
-    marked = language.identify(docs.drop("lang_pred", "score", "rejected"), model, [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")])
-    return marked.filter(~F.col("rejected")).select(*docs.columns)
+    mark = free_name(docs, "language_")
+    marked = language.identify(docs, model, docs.columns, prefix=mark)
+    return marked.filter(~F.col(f"{mark}rejected")).select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -32,12 +33,14 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) ->
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return decontaminate.contamination(docs, benchmark, docs.columns).filter(~F.col("contaminated")).select(*docs.columns)
+    mark = free_name(docs, "benchmark_")
+    marked = decontaminate.contamination(docs, benchmark, docs.columns, prefix=mark)
+    return marked.filter(~F.col(f"{mark}contaminated")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents that the mix takes."""
-    return mixing.mix_sources(docs, share=MIX_SHARE, weights=MIX, epochs=1).select(*docs.columns)
+    return mixing.mix_sources(docs, share=MIX_SHARE, weights=MIX, epochs=1, copies=free_name(docs, "copies")).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
