@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, license_scan, line_runs, main_text, mixing, near_duplicates, secret_scan, sharding, top_k
+from . import decontaminate, language, license_scan, line_runs, main_text, mixing, near_duplicates, oracle, secret_scan, sharding, top_k
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -82,4 +82,12 @@ QUERIES = {
         op10_sharding,
     )
 }
-SQL: dict[str, str] = {}
+#: Signatures (op3), page markup (op4), a trained model (op5) and a seeded shuffle (op10) aren't SQL; tests hold them against brute force.
+SQL: dict[str, str] = {
+    "op1_secret_scan": oracle.SECRETS,
+    "op2_exact_top_k": oracle.TOP_K,
+    "op6_line_dedup": oracle.LINE_RUNS,
+    "op7_benchmark_decontamination": oracle.DECONTAMINATE,
+    "op8_mix_sources": oracle.mixed(MIX),
+    "op9_license_scan": oracle.LICENSES,
+}
