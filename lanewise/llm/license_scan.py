@@ -1,10 +1,10 @@
 """License scan with DataFrame functions only: MinHash bands over overlapping windows, then exact shingle containment.
 
 Templates are license notices, cut into shingles of five words (a shorter template is one shingle). For templates of up to L
-words, the text is cut into windows of 2 L words, one from each L-th word on, so that every occurrence lies in a window whole.
-If a window holds 80 % of a template of more than L / 2 words, their Jaccard similarity is at least 0.8 / (4 + 0.2), about 0.19;
-with BANDS = 48 bands of a single row such a window meets the template in a band with a probability of over 99.99 %.
-A template met in a band is a match if at least 80 % of its shingles are in the window.
+shingles, L a power of two, the text is cut into windows of 2 L shingles, one from each L-th shingle on, so that every occurrence
+lies in a window whole. If a window holds 80 % of a template of more than L / 2 shingles, their Jaccard similarity is at least
+0.8 / (4 + 0.2), about 0.19; with BANDS = 48 bands of a single row such a window meets the template in a band with a probability of
+over 99.99 %. A template met in a band is a match if at least 80 % of its shingles are in the window.
 
 Windows without any shingle of a template can't meet one in a band, and texts without any word of a set that hits every shingle
 of every template have no such window: both are passed over before hashing, which changes no result.
@@ -52,6 +52,13 @@ def shingles_of(text: str) -> list[str]:
     return sorted({" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
 
 
+def reach_of(text: str) -> tuple[int, int]:
+    """Words in a shingle of a template, and the least power of two that its number of shingles doesn't exceed."""
+    size = len(template_words(text))
+    k = min(SHINGLE, size)
+    return k, 1 << (size - k).bit_length()
+
+
 def anchors(templates: dict[str, str]) -> list[str]:
     """A small set of words of which every shingle of every template has one."""
     left = {tuple(s.split()) for t in templates.values() for s in shingles_of(t)}
@@ -84,11 +91,7 @@ def _prepared(spark: SparkSession, templates: dict[str, str]) -> dict[tuple[int,
     row = spark.range(1).select(*columns).first()
     out: dict[tuple[int, int], list[tuple[str, list[int], list[int]]]] = {}
     for n, name in enumerate(names):
-        size = len(template_words(templates[name]))
-        reach = 8
-        while reach < size:
-            reach *= 2
-        out.setdefault((min(SHINGLE, size), reach), []).append((name, row[f"h{n}"], row[f"s{n}"]))
+        out.setdefault(reach_of(templates[name]), []).append((name, row[f"h{n}"], row[f"s{n}"]))
     return out
 
 
@@ -107,9 +110,9 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", template
     for (k, reach), group in sorted(prepared.items()):
         known = _array([f"{h}L" for h in sorted({h for _, hashes, _ in group for h in hashes})], "bigint")
         table = "array(" + ",".join(f"struct('{name}' as name, {_array([f'{h}L' for h in hashes], 'bigint')} as hashes, {_array([f'{h}L' for h in signature], 'bigint')} as signature)" for name, hashes, signature in group) + ")"
-        # Each word's shingle; then windows of 2 * reach words, hence 2 * reach - k + 1 shingles.
+        # Each word's shingle; then windows of 2 * reach shingles.
         shingles = f"if(size(w) < {k}, cast(array() as array<bigint>), transform(sequence(1, greatest(size(w) - {k - 1}, 1)), i -> xxhash64(array_join(slice(w, i, {k}), ' '))))"
-        windows = f"filter(transform(sequence(0, greatest(size(h) - 1, 0), {reach}), a -> slice(h, a + 1, {2 * reach - k + 1})), v -> arrays_overlap(v, {known}))"
+        windows = f"filter(transform(sequence(0, greatest(size(h) - 1, 0), {reach}), a -> slice(h, a + 1, {2 * reach})), v -> arrays_overlap(v, {known}))"
         met = f"exists(sequence(0, {BANDS - 1}), j -> m.signature[j] = t.signature[j])"
         holds = f"size(array_intersect(t.hashes, m.window)) * {CONTAINMENT[1]} >= size(t.hashes) * {CONTAINMENT[0]}"
         signed = f"transform({windows}, v -> struct(v as window, {_signature('v')} as signature))"

@@ -58,19 +58,16 @@ FROM documents LEFT JOIN kept ON kept.doc = md5(coalesce(doc_id::VARCHAR, '') ||
 def _licenses() -> str:
     rows = []
     for name, text in license_scan.TEMPLATES.items():
-        size = len(license_scan.template_words(text))
-        reach = 8
-        while reach < size:
-            reach *= 2
+        k, reach = license_scan.reach_of(text)
         shingles = license_scan.shingles_of(text)
-        rows += [f"('{name}', {min(license_scan.SHINGLE, size)}, {reach}, {len(shingles)}, '{s}')" for s in shingles]
+        rows += [f"('{name}', {k}, {reach}, {len(shingles)}, '{s}')" for s in shingles]
     part, whole = license_scan.CONTAINMENT
     return f"""
 WITH t(name, k, reach, size, shingle) AS (VALUES {", ".join(rows)}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("text")}, '[a-z0-9]+') AS w FROM documents),
 spans AS (SELECT r, k, i, array_to_string(w[i + 1:i + k], ' ') AS shingle FROM (SELECT r, w, k, unnest(range(greatest(len(w) - k + 1, 0))) AS i FROM d, (SELECT DISTINCT k FROM t))),
 placed AS (SELECT r, name, size, shingle, i, k, reach, i // reach - unnest([0, 1]) AS m FROM spans JOIN t USING (k, shingle)),
-held AS (SELECT r, name FROM placed WHERE m >= 0 AND i - m * reach <= 2 * reach - k GROUP BY r, name, size, m HAVING count(DISTINCT shingle) * {whole} >= size * {part}),
+held AS (SELECT r, name FROM placed WHERE m >= 0 AND i - m * reach < 2 * reach GROUP BY r, name, size, m HAVING count(DISTINCT shingle) * {whole} >= size * {part}),
 names AS (SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT DISTINCT r, name FROM held) GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN names USING (r)
 """

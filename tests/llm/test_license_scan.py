@@ -9,14 +9,11 @@ def brute(text, templates):
     w = L.template_words(text or "")
     out = []
     for name, template in templates.items():
-        size = len(L.template_words(template))
-        k, reach = min(5, size), 8
-        while reach < size:
-            reach *= 2
+        k, reach = L.reach_of(template)
         wanted = set(L.shingles_of(template))
-        for a in range(0, len(w), reach):
-            window = w[a : a + 2 * reach]
-            if len(wanted & {" ".join(window[i : i + k]) for i in range(len(window) - k + 1)}) * 5 >= len(wanted) * 4:
+        every = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)]
+        for a in range(0, len(every), reach):
+            if len(wanted & set(every[a : a + 2 * reach])) * 5 >= len(wanted) * 4:
                 out.append(name)
                 break
     return sorted(out)

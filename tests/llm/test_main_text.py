@@ -25,9 +25,9 @@ def test_article(body, text):
 
 def test_repeated_runs_outside_of_an_article():
     boiler = "this long line stands on every single page of the whole site today"
-    pages = [f"<body><div>{boiler}</div><p>Unique text number {w} is what this page is about</p></body>" for w in ("one", "two", "three")]
-    assert M.main_texts(pages) == [f"Unique text number {w} is what this page is about" for w in ("one", "two", "three")]
-    assert M.main_texts([pages[0]]) == [f"{boiler} Unique text number one is what this page is about"]
+    pages = [f"<body><div>{boiler}</div><p>{w} is what this page is about</p></body>" for w in ("one", "two", "three")]
+    assert M.main_texts(pages) == [f"{w} is what this page is about" for w in ("one", "two", "three")]
+    assert M.main_texts([pages[0]]) == [f"{boiler} one is what this page is about"]
 
 
 def test_copies_of_an_article_stay():
