@@ -29,8 +29,11 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
     return values.flatten().to_numpy(zero_copy_only=False).reshape(size, -1)
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query place, row place, score) of the k best rows in the block for each query, but rows of the query's own id."""
+def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, read: list[int] | None = None):
+    """(query place, id, score) of the k best rows in the block for each query, but rows of the query's own id.
+
+    ``read`` gets the number of rows scored for each query.
+    """
     count, dims = rows.shape
     order = np.argsort(ids, kind="stable")
     rows, ids = rows[order], ids[order]
@@ -72,6 +75,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, i
                     best, scores = best[by], scores[by]
             if len(best) >= k and scores.min() > bounds[n, step]:
                 break
+        if read is not None:
+            read.append(int((seen_at <= step).sum()))
         for place_of, score in zip(best.tolist(), scores.tolist(), strict=True):
             yield n, int(ids[place_of]), max(-(1 << 63), min((1 << 63) - 1, int(score)))
 
