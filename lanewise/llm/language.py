@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from ._text import map_text, mix, raw
 
 #: Rows sampled for each language, languages at most, and bytes of pieces for each row.
-SAMPLE = 600
+SAMPLE = 500
 LANGUAGES = 1000
 MAX_BYTES = 2000
 BUCKETS = 1 << 15
@@ -118,7 +118,7 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
         for s in starts:
             piece = letters[s : s + int(random.integers(PIECE // 8, PIECE + 1))]
             if (piece != 0).sum() >= 3:
-                pieces[n % 5 == 4].append(np.concatenate([subwords(piece, order) for order in ORDERS]))
+                pieces[n % 5 == 4].append(np.concatenate([subwords(piece, order) for order in ORDERS]).astype(np.uint16))
                 classes[n % 5 == 4].append(languages.index(label))
     if not pieces[0]:
         return Model(languages, np.zeros((size, BUCKETS), np.float32), np.zeros(size))
