@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -27,6 +28,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle and checkpoint files of frames that nothing refers to any more, between steps of a long job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a columnar table in the shared checkpoint folder, read back."""
     spark = df.sparkSession

@@ -11,8 +11,8 @@ Candidates. Signatures are cut into BANDS bands; texts that share a band are lin
 pairs) and connected to candidate groups. Texts of equal words count as one from the start.
 
 Verification. In each candidate group the multiset overlap (sum of minima over sum of maxima) decides. A group is searched breadth
-first: a text is compared with those not yet reached, and those within the threshold are reached, which gives exactly the
-connected classes without listing pairs. A large group is searched in blocks that share a few pivots; the texts that this leaves
+first: a text is compared with those not yet reached that share one of its rarest shingles, and those within the threshold are
+reached, which gives exactly the connected classes without listing pairs. A large group is searched in blocks that share a few pivots; the texts that this leaves
 unlinked to the largest class are then searched against every block; only spanning links leave a task.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import pinned, shipped
+from ._store import pinned, released, shipped
 from ._text import Words, grams, map_text, mix, words
 
 SHINGLE = 5
@@ -32,8 +32,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Texts that a task compares at a time, and pivots that the blocks of a larger group share.
-BLOCK, PIVOTS = 512, 4
-#: Groups of more than BLOCK texts up to which a row for each is broadcast (about 30 MB); beyond, they are joined by a shuffle.
+BLOCK, PIVOTS = 1024, 4
+#: Rows up to which a table of keys (of 40 bytes at most) is broadcast after a count; beyond, it is joined by a shuffle.
 MOST_BROADCAST = 500_000
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
@@ -165,28 +165,48 @@ def bagged(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def linked(bags: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that span the connected classes of the graph of all pairs within the similarity, found breadth first."""
+    """Links that span the connected classes of the graph of all pairs within the similarity, found breadth first.
+
+    Two bags within the similarity share one of the first elements of both in any common order, the first being all but
+    similarity * size of them, and one more. In order of rarity these are rare elements, so few bags are ever compared.
+    """
     n = len(bags)
-    size = np.array([len(b) for b in bags])
-    # In order of size, those that can be within the similarity of one bag are neighbours.
-    order = np.argsort(size, kind="stable")
-    left = list(order)
+    size = np.array([len(b) for b in bags], np.int64)
+    values = np.concatenate(bags)
+    owner = np.repeat(np.arange(n), size)
+    _, element, counts = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.lexsort((element, counts[element], owner))
+    place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+    head = order[place < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)]
+    head = head[counts[element[head]] > 1]
+    head_element, head_owner = element[head], owner[head]
+    own_begin = np.searchsorted(head_owner, np.arange(n + 1))
+    by_element = np.argsort(head_element, kind="stable")
+    holders = head_owner[by_element]
+    list_begin = np.concatenate([[0], np.cumsum(np.bincount(head_element, minlength=len(counts)))])
+    left = np.ones(n, bool)
     links = []
-    while left:
-        reach = [left.pop(0)]
-        while reach and left:
+    for start in range(n):
+        if not left[start]:
+            continue
+        left[start] = False
+        reach = [start]
+        while reach:
             at = reach.pop()
-            near = [i for i in left if similarity * size[at] <= size[i] and similarity * size[i] <= size[at]]
-            if not near:
+            lists = head_element[own_begin[at] : own_begin[at + 1]]
+            if not len(lists):
+                continue
+            near = np.unique(np.concatenate([holders[list_begin[e] : list_begin[e + 1]] for e in lists]))
+            near = near[left[near] & (similarity * size[at] <= size[near] + 1e-9) & (similarity * size[near] <= size[at] + 1e-9)]
+            if not len(near):
                 continue
             all_of = np.concatenate([bags[i] for i in near])
-            place = np.minimum(np.searchsorted(bags[at], all_of), size[at] - 1)
-            common = np.add.reduceat((bags[at][place] == all_of).astype(np.int64), np.cumsum(size[near]) - size[near])
-            hit = common >= similarity * (size[at] + size[near] - common) - 1e-9
-            got = {i for i, h in zip(near, hit, strict=True) if h}
-            links += [(at, i) for i in got]
-            reach += sorted(got)
-            left = [i for i in left if i not in got]
+            found = np.minimum(np.searchsorted(bags[at], all_of), size[at] - 1)
+            common = np.add.reduceat((bags[at][found] == all_of).astype(np.int64), np.cumsum(size[near]) - size[near])
+            got = near[common >= similarity * (size[at] + size[near] - common) - 1e-9]
+            left[got] = False
+            links += [(at, int(i)) for i in got]
+            reach += got.tolist()
     return links
 
 
@@ -200,12 +220,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(lower.select("a", F.col("m").alias("b")))
         pairs = pinned(small.distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        del both, least, large, lower, small
+        released(pairs.sparkSession)
         if now == mark:
             break
         mark = now
@@ -216,6 +238,8 @@ _LINKS = "a binary, b binary"
 
 
 def _search(similarity: float):
+    """From a group's nodes and bags: links of each node to the least node of its class within the group."""
+
     def run(table: pa.Table) -> pa.Table:
         keys = table["node"].to_pylist()
         column = table["bag"].combine_chunks()
@@ -224,27 +248,43 @@ def _search(similarity: float):
         values = column.values.to_numpy()
         bags = {k: values[begin[i] : begin[i + 1]] for i, k in enumerate(keys)}  # a pivot may come twice
         names = list(bags)
-        links = linked([bags[k] for k in names], similarity)
-        return pa.table({"a": pa.array([names[i] for i, _ in links], pa.binary()), "b": pa.array([names[j] for _, j in links], pa.binary())})
+        top = {n: n for n in names}
+
+        def root(n: bytes) -> bytes:
+            while top[n] != n:
+                top[n] = n = top[top[n]]
+            return n
+
+        for i, j in linked([bags[n] for n in names], similarity):
+            low, high = sorted((root(names[i]), root(names[j])))
+            top[high] = low
+        links = [(n, root(n)) for n in names if root(n) != n]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
 
     return run
 
 
+def _near(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many rows at most, to be broadcast if they are few."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that span the classes within each group of members (root, node, bag)."""
+    """(node, root) for the members (root, node, bag) of candidate groups that are in a class with others: its least node."""
     shipped(members.sparkSession)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     # One row for each group beyond a block, so BLOCK times fewer than members.
     beyond = pinned(sizes.filter(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    near = F.broadcast if beyond.count() <= MOST_BROADCAST else lambda x: x
+    many = beyond.count()
+    near = lambda df: _near(df, many)
     sized = members.join(near(beyond), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sized = pinned(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     work = lambda df, *by: df.select(*by, "node", "bag").groupBy(*by).applyInArrow(_search(similarity), _LINKS)
     small = sized.filter("blocks = 1")
-    links = work(small, "root")
+    done = work(small, "root").select(F.col("a").alias("node"), F.col("b").alias("root"))
     large = sized.filter("blocks > 1")
-    if large.isEmpty():
-        return links
+    if not many:
+        return done
     # Pivots: the least nodes of block 0 .. PIVOTS - 1, one from each, so that no group is gathered to find them.
     least = large.filter(f"block < {PIVOTS}").groupBy("root", "block").agg(F.min("node").alias("node"))
     pivots = large.join(least.select("root", "node"), ["root", "node"]).select("root", "node", "bag", "blocks")
@@ -255,6 +295,8 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     counted = held.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n"))
     top = counted.groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
     strays = pinned(held.join(near(top), "root").filter("class <> main").select("root", "node", "blocks"))
+    del spread, pivots, counted, top, held
+    released(members.sparkSession)
     # Texts outside of the largest class meet every block, in blocks of their own.
     number = strays.groupBy("root").agg(F.count(F.lit(1)).alias("strays"))
     dealt = strays.join(near(number), "root").select("root", "node", "blocks", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.ceil(F.col("strays") / BLOCK)).cast("int").alias("part"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts"))
@@ -263,7 +305,7 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     left = with_bags.select("root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "bag")
     right = large.join(near(parts), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "bag")
     second = work(left.union(right), "root", "part", "block")
-    return links.union(first).union(second)
+    return done.union(components(first.union(second)))
 
 
 def signed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -274,17 +316,19 @@ def signed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def classes(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> DataFrame:
     """(words_key, class_key) for the distinct contents that have a word; class_key is the least key of the class."""
-    marks = rows.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct("text_hash", "bands")).alias("m")).select("words_key", "m.*")
-    spread = pinned(marks.select("words_key", F.posexplode("bands").alias("band", "code")))
+    marks = pinned(rows.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct("text_hash", "bands")).alias("m")).select("words_key", "m.*"))
+    spread = marks.select("words_key", F.posexplode("bands").alias("band", "code"))
     least = spread.groupBy("band", "code").agg(F.min("words_key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "code", "b")
     stars = spread.join(least, ["band", "code"]).select(F.col("words_key").alias("a"), "b").filter("a <> b").distinct()
     groups = components(stars)
     wanted = pinned(groups.join(marks.select(F.col("words_key").alias("node"), "text_hash"), "node"))
     hashed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).filter("text is not null")
-    texts = hashed.join(wanted.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = hashed.join(_near(wanted.select("text_hash").distinct(), wanted.count()), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     bags = bagged(texts, [], "text").filter("words_key is not null")
     members = wanted.join(bags, wanted["node"] == bags["words_key"]).select("root", "node", "bag")
-    found = components(_verified(members, similarity))
+    del spread, least, stars, groups
+    released(docs.sparkSession)
+    found = _verified(members, similarity)
     return marks.select("words_key").join(found.select(F.col("node").alias("words_key"), F.col("root").alias("class_key")), "words_key", "left").select("words_key", F.coalesce("class_key", "words_key").alias("class_key"))
 
 
@@ -311,13 +355,18 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     rows = signed_rows(docs, key, text)
     found = classes(docs, rows, text, similarity)
-    first = rows.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    worded = rows.filter("words_key is not null").groupBy("words_key", "id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = worded.groupBy("words_key").agg(F.min(F.struct("id", "text_hash", "n")).alias("first"))
     kept = found.join(first, "words_key").groupBy("class_key").agg(F.min("first").alias("first")).select("first.*")
-    alone = rows.filter("words_key is null").select("id", "text_hash").distinct()
-    chosen = pinned(kept.select("id", "text_hash", F.lit(True).alias("one")).union(alone.select("id", "text_hash", F.lit(False))))
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
+    dropped = pinned(worded.alias("w").join(kept.alias("k"), same("w", "k"), "left_anti").select("id", "text_hash").distinct())
+    repeated = pinned(kept.filter("n > 1").select("id", "text_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), row)
-    same = F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.text_hash") == F.col("c.text_hash"))
-    left = keyed.alias("d").join(chosen.alias("c"), same).select("d.id", "d.text_hash", "d.row", "c.one")
-    single = left.filter("one").groupBy("id", "text_hash").agg(F.first("row").alias("row"))
-    return single.select("row.*").union(left.filter("not one").select("row.*"))
+    left = keyed.alias("d").join(_near(dropped, dropped.count()).alias("x"), same("d", "x"), "left_anti")
+    twice = repeated.count()
+    if not twice:
+        return left.select("row.*")
+    single = left.alias("d").join(_near(repeated, twice).alias("x"), same("d", "x"), "left_semi").groupBy("id", "text_hash").agg(F.first("row").alias("row"))
+    others = left.alias("d").join(_near(repeated, twice).alias("x"), same("d", "x"), "left_anti")
+    return others.select("row.*").union(single.select("row.*"))
