@@ -63,38 +63,31 @@ SUMS = [0, *(round(c * math.log2(c) * 1_000_000) for c in range(1, WINDOW + 1))]
 
 
 def _windows(candidate: str) -> str:
-    """SQL: spans (start, end), from 0 in the candidate, of touching windows over the bound."""
+    """SQL: spans (start, end), from 0 in the candidate, of touching windows over the bound.
+
+    ``q`` has the place in ALPHABET of the character that comes and of the one that goes (-1: none yet), ``a`` the counts, the sum,
+    the digits and the run of hexadecimal digits so far, with the spans; ``s`` is the same after the step.
+    """
     codes = f"transform(filter(split({candidate}.value, ''), c -> c <> ''), c -> locate(c, '{ALPHABET}') - 1)"
     sums = "array(" + ",".join(f"{x}L" for x in SUMS) + ")"
-    empty = "cast(array() as array<struct<start:int,end:int>>)"
-    come, gone = "x", "y"
-    counts = f"if({come} = {gone}, a.counts, transform(a.counts, (c, k) -> c + if(k = {come}, 1, 0) - if(k = {gone}, 1, 0)))"
-    total = f"if({come} = {gone}, a.total, a.total + t[a.counts[{come}] + 1] - t[a.counts[{come}]] + if({gone} < 0, 0L, t[a.counts[greatest({gone}, 0)] - 1] - t[a.counts[greatest({gone}, 0)]]))"
-    total = total.replace("t[", f"{sums}[")
-    digits = f"a.digits + if({come} < {DIGITS}, 1, 0) - if({gone} between 0 and {DIGITS - 1}, 1, 0)"
-    hexes = f"if({come} < {HEX_DIGITS}, a.hexes + 1, 0)"
-    moved = f"struct({counts} as counts, {total} as total, {digits} as digits, {hexes} as hexes)"
-    hot = f"""i >= {WINDOW - 1} and s.digits < {WINDOW} and if(s.hexes >= {WINDOW}, s.total <= {_most(HEX_BITS)}L, s.digits >= 2 and s.total <= {_most(WIDE_BITS)}L)"""
+    none = "cast(array() as array<struct<start:int,end:int>>)"
     begin = f"i - {WINDOW - 1}"
+    counts = "if(q.come = q.gone, a.counts, transform(a.counts, (c, k) -> c + if(k = q.come, 1, 0) - if(k = q.gone, 1, 0)))"
+    gain = f"{sums}[a.counts[q.come] + 1] - {sums}[a.counts[q.come]]"
+    loss = f"if(q.gone < 0, 0L, {sums}[a.counts[greatest(q.gone, 0)]] - {sums}[a.counts[greatest(q.gone, 0)] - 1])"
+    total = f"if(q.come = q.gone, a.total, a.total + {gain} - {loss})"
+    digits = f"a.digits + if(q.come < {DIGITS}, 1, 0) - if(q.gone between 0 and {DIGITS - 1}, 1, 0)"
+    hexes = f"if(q.come < {HEX_DIGITS}, a.hexes + 1, 0)"
+    hot = f"i >= {WINDOW - 1} and s.digits < {WINDOW} and if(s.hexes >= {WINDOW}, s.total <= {_most(HEX_BITS)}L, s.digits >= 2 and s.total <= {_most(WIDE_BITS)}L)"
     spans = f"""case when not ({hot}) then a.spans
         when size(a.spans) > 0 and element_at(a.spans, -1).end >= {begin} then concat(slice(a.spans, 1, size(a.spans) - 1), array(struct(element_at(a.spans, -1).start as start, i + 1 as end)))
         else concat(a.spans, array(struct({begin} as start, i + 1 as end))) end"""
-    after = f"transform(array({moved}), s -> struct(s.counts as counts, s.total as total, s.digits as digits, s.hexes as hexes, {spans} as spans))[0]"
-    named = after.replace("{come}", come)
-    step = f"transform(array(struct(codes[i] as x, if(i >= {WINDOW}, codes[greatest(i - {WINDOW}, 0)], -1) as y)), q -> {named})[0]"
-    for name in ("x", "y"):
-        step = _bind(step, name)
-    first = f"struct(array_repeat(0, {len(ALPHABET)}) as counts, 0L as total, 0 as digits, 0 as hexes, {empty} as spans)"
+    after = f"transform(array(struct({counts} as counts, {total} as total, {digits} as digits, {hexes} as hexes)), s -> struct(s.counts as counts, s.total as total, s.digits as digits, s.hexes as hexes, {spans} as spans))[0]"
+    step = f"transform(array(struct(codes[i] as come, if(i >= {WINDOW}, codes[greatest(i - {WINDOW}, 0)], -1) as gone)), q -> {after})[0]"
+    first = f"struct(array_repeat(0, {len(ALPHABET)}) as counts, 0L as total, 0 as digits, 0 as hexes, {none} as spans)"
     return f"flatten(transform(array({codes}), codes -> aggregate(sequence(0, size(codes) - 1), {first}, (a, i) -> {step}, a -> a.spans)))"
 
 
-def _bind(sql: str, name: str) -> str:
-    """The character that comes or goes, as a field of the lambda variable q."""
-    import re
-
-    return re.sub(rf"(?<![\w.'])(?<!as ){name}(?![\w'(])", f"q.{name}", sql)
-
-
 def scan_secrets(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` with ``base`` and ``spans``: arrays of (start, kind, end, name), by start and then kind.
 

@@ -1,8 +1,8 @@
+import random
 from collections import Counter
 
-from corpus import DOCS, odd_rows, sentence
-import random
 import pytest
+from corpus import DOCS, odd_rows, sentence
 
 from lanewise.llm.sharding import shuffle_into_shards
 
