@@ -9,6 +9,10 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a narrow table (of 50 bytes a row at most) is broadcast after a count.
+MOST_BROADCAST = 500_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,6 +32,16 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def near(df: DataFrame) -> DataFrame:
+    """A narrow table pinned and counted: to be broadcast if it is small.
+
+    Beyond MOST_BROADCAST rows it is joined by a shuffle. As it is pinned, both sides of such a join are plain exchanges, whose hot
+    partitions Spark can split.
+    """
+    kept = pinned(df)
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
 def released(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle and checkpoint files of frames that nothing refers to any more, between steps of a long job."""
     gc.collect()
