@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import pinned, released, shipped
+from ._store import MOST_BROADCAST, near, pinned, released, shipped
 from ._text import Words, grams, map_text, mix, words
 
 SHINGLE = 5
@@ -33,8 +33,6 @@ BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Texts that a task compares at a time, and pivots that the blocks of a larger group share.
 BLOCK, PIVOTS = 1024, 4
-#: Rows up to which a table of keys (of 40 bytes at most) is broadcast after a count; beyond, it is joined by a shuffle.
-MOST_BROADCAST = 500_000
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
 
@@ -216,21 +214,23 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes are only joined to least neighbours, so no neighbourhood is gathered. Two rounds that give the same edges end it.
     """
     pairs = pinned(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
-    while True:
+    shape = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")).first()
+    last = shape(pairs)
+    while last["n"]:
+        # A row for each node. Where they are many they are pinned, so that the hot partitions of the join can be split.
+        for_join = F.broadcast if 2 * last["n"] <= MOST_BROADCAST else pinned
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = for_join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(lower.select("a", F.col("m").alias("b")))
-        pairs = pinned(small.distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        lower = for_join(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        pairs = pinned(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        now = shape(pairs)
         del both, least, large, lower, small
         released(pairs.sparkSession)
-        if now == mark:
+        if now == last:
             break
-        mark = now
+        last = now
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
@@ -319,7 +319,7 @@ def classes(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> D
     marks = pinned(rows.filter("words_key is not null").groupBy("words_key").agg(F.min(F.struct("text_hash", "bands")).alias("m")).select("words_key", "m.*"))
     spread = marks.select("words_key", F.posexplode("bands").alias("band", "code"))
     least = spread.groupBy("band", "code").agg(F.min("words_key").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "code", "b")
-    stars = spread.join(least, ["band", "code"]).select(F.col("words_key").alias("a"), "b").filter("a <> b").distinct()
+    stars = spread.join(near(least), ["band", "code"]).select(F.col("words_key").alias("a"), "b").filter("a <> b").distinct()
     groups = components(stars)
     wanted = pinned(groups.join(marks.select(F.col("words_key").alias("node"), "text_hash"), "node"))
     hashed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).filter("text is not null")
