@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._store import pinned, shipped
+from ._store import near, shipped
 
 #: Words of a repeated passage at least, and bytes of html in a part of a host.
 RUN = 8
@@ -174,7 +174,7 @@ def extract_main_text(pages: DataFrame, keep: list[str], page: str = "html", url
     source = pages.select(host.alias("host"), F.struct(*kept).alias("kept"), body.alias("body"))
     sizes = source.groupBy("host").agg(F.sum(F.octet_length("body")).alias("b")).filter(F.col("b") > part_bytes)
     # Only hosts beyond one part: at most as many as the bytes of all pages hold parts.
-    large = pinned(sizes.select("host", F.ceil(F.col("b") / part_bytes).cast("int").alias("parts")))
+    large = near(sizes.select("host", F.ceil(F.col("b") / part_bytes).cast("int").alias("parts")))
     dealt = source.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("body", *[f"kept.`{c}`" for c in keep]), F.coalesce("parts", F.lit(1))).cast("int"))
     fields = [f for f in source.schema["kept"].dataType.fields]
     schema = T.StructType([*fields, T.StructField("main_text", T.StringType())])
@@ -186,4 +186,5 @@ def extract_main_text(pages: DataFrame, keep: list[str], page: str = "html", url
         columns = [x.cast(f.type) for x, f in zip(rows.flatten(), arrow, strict=False)]
         return pa.Table.from_arrays([*columns, pa.array(main_texts(table["body"].to_pylist()), arrow.field(len(arrow) - 1).type)], schema=arrow)
 
-    return dealt.select("host", "part", "kept", "body").groupBy("host", "part").applyInArrow(run, schema)
+    # Dealt by host and part: a shuffle by host alone would gather a large host again.
+    return dealt.select("host", "part", "kept", "body").repartition("host", "part").groupBy("host", "part").applyInArrow(run, schema)
