@@ -1,5 +1,9 @@
 """A frozen 64-bit hash of keys, and its combination over several columns.
 
+``with_hash`` and ``with_combined`` add a column step by step: each step is a projection that refers to the one before, all in one stage
+of generated code. ``hash64`` and ``combine`` are the same as one expression, which repeats its parts many times: fine for a single
+hash, slow to plan for nested ones.
+
 Hashes are BIGINT bit patterns; ``wide.from_pattern`` and ``wide.hex_of`` show them unsigned or in hexadecimal. The hash of null is
 null unless the caller names one.
 """
@@ -8,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kinds import U64, Kind
@@ -62,3 +66,25 @@ def combine(a: Column, b: Column) -> Column:
     """The hash of two hashes, in this order."""
     mixed = add64(add64(b, long(GOLDEN)), add64(F.shiftleft(a, 6), F.shiftrightunsigned(a, 2)))
     return finalise(a.bitwiseXOR(mixed))
+
+
+def _finalised(rows: DataFrame, name: str) -> DataFrame:
+    h = F.col(f"`{name}`")
+    for factor in (FACTOR_1, FACTOR_2):
+        rows = rows.withColumn(name, h.bitwiseXOR(F.shiftrightunsigned(h, 33))).withColumn(name, mul64(h, factor))
+    return rows.withColumn(name, h.bitwiseXOR(F.shiftrightunsigned(h, 33)))
+
+
+def with_hash(rows: DataFrame, name: str, value: Column, kind: Kind, seed: int = 0, null_hash: int | None = None) -> DataFrame:
+    """``rows`` with the column ``name``: the hash of a value under a seed."""
+    out = _finalised(rows.withColumn(name, key_bits(value, kind).bitwiseXOR(long(seed + GOLDEN))), name)
+    return out if null_hash is None else out.withColumn(name, F.coalesce(F.col(f"`{name}`"), long(null_hash)))
+
+
+def with_combined(rows: DataFrame, name: str, first: str, second: str) -> DataFrame:
+    """``rows`` with the column ``name``: the hash of the hashes in two columns, in this order."""
+    a, b, part, other = F.col(f"`{first}`"), F.col(f"`{second}`"), f"__{name}_1", f"__{name}_2"
+    rows = rows.withColumn(part, add64(b, long(GOLDEN))).withColumn(other, F.shiftleft(a, 6))
+    rows = rows.withColumn(other, add64(F.col(other), F.shiftrightunsigned(a, 2)))
+    rows = rows.withColumn(part, add64(F.col(part), F.col(other))).withColumn(part, a.bitwiseXOR(F.col(part)))
+    return _finalised(rows, part).withColumn(name, F.col(part)).drop(part, other)

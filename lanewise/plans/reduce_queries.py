@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import reductions as R
-from ..functions.hashing import combine, hash64
+from ..functions.hashing import with_combined, with_hash
 from ..functions.kinds import F32, F64, I8, I16, I32, I64, U8, U32, U64
 from ..functions.wide import hex_of
 from ..sources.tables import table
@@ -88,11 +88,11 @@ def _hashes(catalog: Catalog) -> None:
         ("hash64_i8_neg", I8, "x % 256 - 128", "tinyint", 3),
         ("hash64_u8", U8, "x % 256", "smallint", 3),
     ):
-        catalog.add(name, lambda spark, d, x=text, c=cast, k=kind, s=seed: orders(spark, d).select("k", hash64(F.expr(x).cast(c), k, s).alias("h")), source + _mixed(_seeded(unsigned(text, kind.bits), seed)))
-    catalog.add("hash64_hex", lambda spark, d: orders(spark, d).select("k", hex_of(hash64(F.col("x"), I64)).alias("h")), source + f"SELECT k, lower(printf('%016x', (CASE WHEN h < 0 THEN h::HUGEINT + 18446744073709551616 ELSE h::HUGEINT END)::UBIGINT)) AS h FROM ({_mixed(_seeded('x::UBIGINT', 0))})")
-    catalog.add("hash64_null", lambda spark, d: parts(spark, d).select(F.col("pos").alias("k"), hash64(F.col("x"), I32, 1, 42).alias("h")), f"WITH source AS (SELECT p_partkey AS k, {NULLABLE_SIZE} AS x FROM part) SELECT k, coalesce(h, 42) AS h FROM ({_mixed(_seeded('x::UBIGINT', 1))})")
+        catalog.add(name, lambda spark, d, x=text, c=cast, k=kind, s=seed: with_hash(orders(spark, d), "h", F.expr(x).cast(c), k, s).select("k", "h"), source + _mixed(_seeded(unsigned(text, kind.bits), seed)))
+    catalog.add("hash64_hex", lambda spark, d: with_hash(orders(spark, d), "h", F.col("x"), I64).select("k", hex_of(F.col("h")).alias("h")), source + f"SELECT k, lower(printf('%016x', (CASE WHEN h < 0 THEN h::HUGEINT + 18446744073709551616 ELSE h::HUGEINT END)::UBIGINT)) AS h FROM ({_mixed(_seeded('x::UBIGINT', 0))})")
+    catalog.add("hash64_null", lambda spark, d: with_hash(parts(spark, d), "h", F.col("x"), I32, 1, 42).select(F.col("pos").alias("k"), "h"), f"WITH source AS (SELECT p_partkey AS k, {NULLABLE_SIZE} AS x FROM part) SELECT k, coalesce(h, 42) AS h FROM ({_mixed(_seeded('x::UBIGINT', 1))})")
     clean = f"SELECT pos AS k, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS x FROM {ODD_EVENTS} WHERE pos % 11 <> 0"
-    catalog.add("hash64_f64", lambda spark, d: odd_events(spark, d).where("pos % 11 <> 0").select(F.col("pos").alias("k"), hash64(F.col("v"), F64, 7).alias("h")), f"WITH source AS ({clean}) " + _mixed(_seeded("cast(cast(x AS BIT) AS UBIGINT)", 7)))
-    catalog.add("hash64_f32", lambda spark, d: odd_events(spark, d).where("pos % 11 <> 0").select(F.col("pos").alias("k"), hash64(F.col("v").cast("float"), F32, 7).alias("h")), f"WITH source AS ({clean}) " + _mixed(_seeded("cast(cast(x::FLOAT AS BIT) AS UINTEGER)::UBIGINT", 7)))
+    catalog.add("hash64_f64", lambda spark, d: with_hash(odd_events(spark, d).where("pos % 11 <> 0"), "h", F.col("v"), F64, 7).select(F.col("pos").alias("k"), "h"), f"WITH source AS ({clean}) " + _mixed(_seeded("cast(cast(x AS BIT) AS UBIGINT)", 7)))
+    catalog.add("hash64_f32", lambda spark, d: with_hash(odd_events(spark, d).where("pos % 11 <> 0"), "h", F.col("v").cast("float"), F32, 7).select(F.col("pos").alias("k"), "h"), f"WITH source AS ({clean}) " + _mixed(_seeded("cast(cast(x::FLOAT AS BIT) AS UINTEGER)::UBIGINT", 7)))
     both = "xor(a, ((b::UHUGEINT + 11400714819323198485::UHUGEINT + ((a::UHUGEINT << 6) % 18446744073709551616::UHUGEINT) + (a >> 2)::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT)"
-    catalog.add("hash_combine", lambda spark, d: orders(spark, d).select("k", combine(F.col("x"), F.col("k")).alias("h")), "WITH source AS (SELECT o_orderkey AS k, o_custkey::UBIGINT AS a, o_orderkey::UBIGINT AS b FROM orders) " + _mixed(both))
+    catalog.add("hash_combine", lambda spark, d: with_combined(orders(spark, d), "h", "x", "k").select("k", "h"), "WITH source AS (SELECT o_orderkey AS k, o_custkey::UBIGINT AS a, o_orderkey::UBIGINT AS b FROM orders) " + _mixed(both))

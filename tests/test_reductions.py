@@ -7,7 +7,7 @@ from model import key, minimum
 from pyspark.sql import functions as F
 
 from lanewise.functions import reductions as R
-from lanewise.functions.hashing import combine, hash64
+from lanewise.functions.hashing import combine, hash64, with_combined, with_hash
 from lanewise.functions.kinds import F32, F64, I8, I16, I32, I64, INTEGERS, KINDS, U8, U64
 from lanewise.functions.wide import add64, from_pattern, hex_of, mul64, signed, sub64
 
@@ -101,3 +101,11 @@ def test_hashes(spark):
     row = spark.createDataFrame([(0, 1, 42)], "a long, b long, c long").select(hex_of(hash64(F.col("a"), I64)), hex_of(hash64(F.col("b"), I64)), hex_of(hash64(F.col("c"), I64, 99)), from_pattern(combine(F.lit(1).cast("long"), F.lit(2).cast("long")))).first()
     assert tuple(row[:3]) == ("9ca066f1a4ab2eea", "25b775faeca8f520", "7b778b89cf7b1b81")
     assert int(row[3]) == combined(1, 2) == 0xF9122D6051144CC9
+
+
+def test_hashes_step_by_step(spark):
+    df = spark.createDataFrame([(0, 1, 2), (1, -5, 7), (2, None, 3)], "pos long, x long, y long")
+    out = with_combined(with_hash(with_hash(df, "h", X, I64, 5), "g", F.col("y"), I64, 6, 9), "c", "h", "g")
+    rows = out.select("h", "g", "c", hash64(X, I64, 5).alias("h2"), combine(F.col("h"), F.col("g")).alias("c2")).collect()
+    assert out.columns == ["pos", "x", "y", "h", "g", "c"]
+    assert all(r["h"] == r["h2"] and r["c"] == r["c2"] for r in rows)
