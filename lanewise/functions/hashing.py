@@ -1,8 +1,8 @@
 """A frozen 64-bit hash of keys, and its combination over several columns.
 
 ``with_hash`` and ``with_combined`` add a column step by step: each step is a projection that refers to the one before, all in one stage
-of generated code. ``hash64`` and ``combine`` are the same as one expression, which repeats its parts many times: fine for a single
-hash, slow to plan for nested ones.
+of generated code. ``hash64`` and ``combine`` are the same as one expression; it binds its parts by lambda variables, which Spark
+interprets row by row, so for large tables the step-by-step forms are the faster ones.
 
 Hashes are BIGINT bit patterns; ``wide.from_pattern`` and ``wide.hex_of`` show them unsigned or in hexadecimal. The hash of null is
 null unless the caller names one.
@@ -10,6 +10,8 @@ null unless the caller names one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,11 +26,17 @@ FACTOR_1 = 0xFF51AFD7ED558CCD
 FACTOR_2 = 0xC4CEB9FE1A85EC53
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finalise(x: Column) -> Column:
     """The 64-bit finaliser of MurmurHash3."""
-    for factor in (FACTOR_1, FACTOR_2):
-        x = mul64(x.bitwiseXOR(F.shiftrightunsigned(x, 33)), factor)
-    return x.bitwiseXOR(F.shiftrightunsigned(x, 33))
+    folded = lambda h: h.bitwiseXOR(F.shiftrightunsigned(h, 33))
+    x = _let(_let(x, folded), lambda h: mul64(h, FACTOR_1))
+    x = _let(_let(x, folded), lambda h: mul64(h, FACTOR_2))
+    return _let(x, folded)
 
 
 def float_bits(value: Column, kind: Kind) -> Column:
@@ -64,8 +72,8 @@ def hash64(value: Column, kind: Kind, seed: int = 0, null_hash: int | None = Non
 
 def combine(a: Column, b: Column) -> Column:
     """The hash of two hashes, in this order."""
-    mixed = add64(add64(b, long(GOLDEN)), add64(F.shiftleft(a, 6), F.shiftrightunsigned(a, 2)))
-    return finalise(a.bitwiseXOR(mixed))
+    mixed = lambda p: add64(add64(p["b"], long(GOLDEN)), add64(F.shiftleft(p["a"], 6), F.shiftrightunsigned(p["a"], 2)))
+    return finalise(_let(F.struct(a.alias("a"), b.alias("b")), lambda p: p["a"].bitwiseXOR(mixed(p))))
 
 
 def _finalised(rows: DataFrame, name: str) -> DataFrame:

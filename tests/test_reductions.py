@@ -106,6 +106,6 @@ def test_hashes(spark):
 def test_hashes_step_by_step(spark):
     df = spark.createDataFrame([(0, 1, 2), (1, -5, 7), (2, None, 3)], "pos long, x long, y long")
     out = with_combined(with_hash(with_hash(df, "h", X, I64, 5), "g", F.col("y"), I64, 6, 9), "c", "h", "g")
-    rows = out.select("h", "g", "c", hash64(X, I64, 5).alias("h2"), combine(F.col("h"), F.col("g")).alias("c2")).collect()
+    rows = out.select("h", "g", "c", hash64(X, I64, 5).alias("h2"), combine(F.col("h"), F.col("g")).alias("c2"), combine(hash64(X, I64, 5), hash64(F.col("y"), I64, 6, 9)).alias("c3")).collect()
     assert out.columns == ["pos", "x", "y", "h", "g", "c"]
-    assert all(r["h"] == r["h2"] and r["c"] == r["c2"] for r in rows)
+    assert all(r["h"] == r["h2"] and r["c"] == r["c2"] == r["c3"] for r in rows)
