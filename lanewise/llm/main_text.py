@@ -38,8 +38,17 @@ OUTSIDE = frozenset("nav footer aside form menu dialog select button fieldset".s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|footer|comment|comments|disqus|share|sharing|social|related|widget|contentinfo|complementary|search|skip)(?:$|[\s_-])", re.I)
-ARTICLE = re.compile(r"(?:^|\s)(?:article|main|post-content|entry-content|article-body|story-body|main-content)(?:$|\s)", re.I)
+#: Words of class, id and role names that mark a boilerplate zone, and names that mark the article.
+ZONES = (
+    "ad ads advert adverts advertisement advertising adsbygoogle alert announcement banner breadcrumb breadcrumbs comment comments "
+    "complementary consent contentinfo cookie cookies disclaimer discussion disqus footer gdpr masthead menu modal nav navbar navigation "
+    "newsletter notice notification pager pagination paywall popup promo promoted recommended related replies search share sharing "
+    "sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget"
+).split()
+ARTICLES = "article article-body article-content content entry-content main main-content post-body post-content story story-body".split()
+BOILERPLATE = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(ZONES)}|(?:site|page)[_-]header)(?:$|[\s_-])", re.I)
+ARTICLE = re.compile(rf"(?:^|\s)(?:{'|'.join(ARTICLES)})(?:$|\s)", re.I)
+_hidden = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
@@ -75,7 +84,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
                 if stack[i][0] in ("article", "main", "body") and name in INLINE | {"p"}:
                     break
-            zone, article = stack[-1][1:] if stack else (False, False)
+            outer = stack[-1][1:] if stack else (False, False)
+            if outer != (zone, article):
+                flush()
+            zone, article = outer
             continue
         if name in RAW:
             if name not in INLINE:
@@ -98,7 +110,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             zone, article = stack[-1][1:] if stack else (False, False)
         names = " ".join(x.strip("\"'") for x in _names.findall(m[3])) if "=" in m[3] else ""
         inner = name in ("article", "main") or bool(names and ARTICLE.search(names))
-        bad = name in OUTSIDE or (name == "header" and not article) or bool(names and BOILERPLATE.search(names) and name not in ("html", "body", "article", "main"))
+        named = bool(names and BOILERPLATE.search(names)) and name not in ("html", "body", "article", "main")
+        bad = name in OUTSIDE or (name == "header" and not article) or named or bool(m[3] and _hidden.search(m[3]))
+        if (bad and not zone) or (inner and not article):
+            flush()
         zone, article = zone or bad, article or inner
         stack.append((name, zone, article))
     flush()

@@ -17,6 +17,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script
         ("<article></article>", ""),
         ("<main><header><h1>Head</h1></header><p>x &lt; y &#233;</p><div id='cookie-notice'>ok?</div></main>", "Head x < y é"),
         ("<article><p>5 < 6 and a > b</p></article>", "5 < 6 and a > b"),
+        ("<div id='content'><p>text</p><p hidden>no</p><span style='display: none'>no</span><div class='related-posts'>no</div><section aria-hidden=true>no</section><p class='additive'>adds</p></div>", "text adds"),
     ],
 )
 def test_article(body, text):
