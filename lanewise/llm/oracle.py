@@ -34,6 +34,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN per_doc USING (r) LEFT JOIN items USING (r)
 """
 
+# All pairs with a common shingle, and all texts that can be reached over links; the operator looks at far fewer.
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+shingles AS (SELECT r, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT r, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+bags AS (SELECT r, s, count(*) AS n FROM shingles GROUP BY r, s),
+sizes AS (SELECT r, sum(n) AS size FROM bags GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, sum(least(a.n, b.n)) AS shared FROM bags a JOIN bags b ON a.s = b.s AND a.r < b.r GROUP BY a.r, b.r),
+pairs AS (SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 10 * shared >= 8 * (x.size + y.size - shared)),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT r AS a, r AS b FROM d UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b)
+SELECT x.doc_id, CASE WHEN len(x.w) = 0 THEN x.doc_id ELSE min(y.doc_id) END AS class_id
+FROM d x JOIN reached ON reached.a = x.r JOIN d y ON y.r = reached.b GROUP BY x.r, x.doc_id, x.w
+"""
+
 # Runs are windows of two lines, or one line of enough words.
 LINE_RUNS = f"""
 WITH d AS (SELECT DISTINCT doc_id, text, md5(coalesce(doc_id::VARCHAR, '') || ':' || text) AS doc FROM documents WHERE text IS NOT NULL),
