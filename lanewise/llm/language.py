@@ -179,8 +179,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """
     col = lambda c: F.col(f"`{c}`")
     rows = labelled.filter(col(label).isNotNull() & col(text).isNotNull())
-    slim = rows.select(col(label).cast("string").alias("label"), F.xxhash64(F.lit(seed), col(key)).alias("at"))
-    counts = {r["label"]: r["n"] for r in slim.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    # Counting by label alone reads no text; rows without one only make the share below a little smaller.
+    labels = labelled.filter(col(label).isNotNull()).groupBy(col(label).cast("string").alias("label"))
+    counts = {r["label"]: r["n"] for r in labels.agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels")
     if not counts:
