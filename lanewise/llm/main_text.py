@@ -29,7 +29,7 @@ from ._store import near, shipped
 
 #: Words of a repeated passage at least, and bytes of html in a part of a host.
 RUN = 8
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _names = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
