@@ -9,27 +9,32 @@ Suffixes of equal rank that begin in distinct pages are repeated passages; the w
 block in a marked zone goes, covered or not. Of other blocks outside of an article the covered words go and the unique runs stay.
 Inside the article element all text stays: an article that is published on two pages is still the article of both.
 
-Large hosts are dealt into parts of a bounded size by a hash of the page, each with its own array: what a host repeats on most
-pages repeats in each part.
+A host beyond PART_BYTES is worked on in parts of that size, each with its own array. The intervals of all arrays of a host are
+merged by a 64-bit hash of their RUN words, so that a passage counts as repeated wherever in the host its pages are; the repeated
+passages are then joined back to the pages. Hosts on all of whose pages markup decides need no array.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
 
-from ._store import near, shipped
+from ._store import near, written
+from ._text import grams, map_text
 
-#: Words of a repeated passage at least, and bytes of html in a part of a host.
+#: Words of a repeated passage at least, and bytes of html that one suffix array is built for.
 RUN = 8
 PART_BYTES = 1 << 20
+BLOCKS = pa.list_(pa.struct([("body", pa.string()), ("zone", pa.bool_()), ("article", pa.bool_())]))
 
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _names = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -120,8 +125,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def covered(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarray]]:
-    """For the words of each block of each page, whether a passage of ``run`` words that is on another page too covers them."""
+def _ranked(pages: list[list[list[str]]], run: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words, and for each place of the stream of all pages the word's number (below 0 at the end of a page), page and rank by ``run`` words."""
     ids: dict[str, int] = {}
     stream, owner = [], []
     for n, page in enumerate(pages):
@@ -130,22 +135,39 @@ def covered(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarra
             owner += [n] * len(words)
         stream.append(-1 - n)  # no two pages share their end
         owner.append(n)
-    rank = np.unique(np.array(stream, np.int64), return_inverse=True)[1].astype(np.int64)
-    owner, length, size = np.array(owner), 1, len(stream)
+    places = np.array(stream, np.int64)
+    rank = np.unique(places, return_inverse=True)[1].astype(np.int64)
+    length, size = 1, len(stream)
     while length < run:
         step = min(length, run - length)
         after = np.full(size, -1, np.int64)
         after[: max(size - step, 0)] = rank[step:]
         rank = np.unique(rank * (size + 1) + after + 1, return_inverse=True)[1].astype(np.int64)
         length += step
+    return list(ids), places, np.array(owner, np.int64), rank
+
+
+def _shared(owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether suffixes of the same rank begin in another page too."""
+    size = len(rank)
     first, last = np.full(size, size, np.int64), np.full(size, -1, np.int64)
     np.minimum.at(first, rank, owner)
     np.maximum.at(last, rank, owner)
-    begins = first[rank] < last[rank]
+    return first[rank] < last[rank]
+
+
+def _under(begins: np.ndarray, size: int, run: int) -> np.ndarray:
+    """The places that a passage of ``run`` words from one of ``begins`` on covers."""
     edge = np.zeros(size + run + 1, np.int64)
-    edge[:size] += begins
-    edge[run : size + run] -= begins
-    mask = np.cumsum(edge)[:size] > 0
+    edge[: len(begins)] += begins
+    edge[run : len(begins) + run] -= begins
+    return np.cumsum(edge)[:size] > 0
+
+
+def covered(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarray]]:
+    """For the words of each block of each page, whether a passage of ``run`` words that is on another page too covers them."""
+    _, _, owner, rank = _ranked(pages, run)
+    mask = _under(_shared(owner, rank), len(rank), run)
     out, at = [], 0
     for page in pages:
         masks = []
@@ -157,23 +179,110 @@ def covered(pages: list[list[list[str]]], run: int = RUN) -> list[list[np.ndarra
     return out
 
 
+def _codes(words: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+
+
+def passages(pages: list[list[list[str]]], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each passage of ``run`` words in the pages, once for each rank, and on how many pages it is: 1, or 2 for more."""
+    words, places, owner, rank = _ranked(pages, run)
+    ends = np.concatenate([[0], np.cumsum(places < 0)])
+    whole = np.flatnonzero(ends[run:] == ends[:-run]) if len(places) >= run else np.zeros(0, np.int64)
+    first = whole[np.unique(rank[whole], return_index=True)[1]]
+    codes = np.where(places < 0, np.uint64(0), np.append(_codes(words), np.uint64(0))[places])
+    return grams(codes, run).view(np.int64)[first], _shared(owner, rank)[first] + np.int64(1)
+
+
+def page_passages(page: list[list[str]], run: int = RUN) -> np.ndarray:
+    """The hash of the ``run`` words from each word of a page on."""
+    words = [w for block in page for w in block]
+    distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return grams(_codes(list(distinct))[[distinct[w] for w in words]] if words else np.zeros(0, np.uint64), run).view(np.int64)
+
+
+def covered_by(page: list[list[str]], repeated: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+    """For the words of each block of a page, whether a passage with one of the hashes ``repeated`` covers them."""
+    mask = _under(np.isin(page_passages(page, run), repeated), sum(map(len, page)), run)
+    return np.split(mask, np.cumsum([len(words) for words in page])[:-1]) if page else []
+
+
+def _anchored(page: list[tuple[str, bool, bool]]) -> bool:
+    return any(article and not zone for _, zone, article in page)
+
+
+def _words(page: list[tuple[str, bool, bool]]) -> list[list[str]]:
+    return [b[0].split(" ") for b in page]
+
+
+def _text(page: list[tuple[str, bool, bool]], masks: list[np.ndarray]) -> str:
+    """The main text of a page, given which words of its blocks are covered."""
+    anchored = _anchored(page)
+    parts = []
+    for (body, zone, article), m in zip(page, masks, strict=True):
+        if zone or (anchored and not article):
+            continue
+        if not anchored and m.any():
+            body = " ".join(w for w, gone in zip(body.split(" "), m, strict=True) if not gone)
+        if body:
+            parts.append(body)
+    return " ".join(parts)
+
+
+def _texts(parsed: list[list[tuple[str, bool, bool]]]) -> list[str]:
+    return [_text(page, m) for page, m in zip(parsed, covered([_words(page) for page in parsed]), strict=True)]
+
+
 def main_texts(pages: list[str | None]) -> list[str]:
     """The main text of each page of one host."""
-    parsed = [blocks(p or "") for p in pages]
-    masks = covered([[b[0].split(" ") for b in page] for page in parsed])
-    out = []
-    for page, mask in zip(parsed, masks, strict=True):
-        anchored = any(article and not zone for _, zone, article in page)
-        parts = []
-        for (body, zone, article), m in zip(page, mask, strict=True):
-            if zone or (anchored and not article):
-                continue
-            if not anchored and m.any():
-                body = " ".join(w for w, gone in zip(body.split(" "), m, strict=True) if not gone)
-            if body:
-                parts.append(body)
-        out.append(" ".join(parts))
-    return out
+    return _texts([blocks(p or "") for p in pages])
+
+
+def _parsing():
+    def compute(column: pa.Array) -> list:
+        parsed = [blocks(p or "") for p in column.to_pylist()]
+        flat = [b for page in parsed for b in page]
+        kinds = BLOCKS.value_type
+        struct = pa.StructArray.from_arrays([pa.array([b[i] for b in flat], kinds.field(i).type) for i in range(3)], fields=list(kinds))
+        offsets = np.concatenate([[0], np.cumsum([len(page) for page in parsed])])
+        undecided = [not _anchored(page) and not all(zone for _, zone, _ in page) for page in parsed]
+        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, type=BLOCKS), pa.array(undecided, pa.bool_())]
+
+    return compute
+
+
+def _read(column: pa.Array) -> list[list[tuple[str, bool, bool]]]:
+    return [[(b["body"], b["zone"], b["article"]) for b in page] for page in column.to_pylist()]
+
+
+def _portions(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches with about ``part_bytes`` of html (column size), or with one longer page."""
+    for batch in batches:
+        upto = np.concatenate([[0], np.cumsum(batch.column("size").to_numpy(zero_copy_only=False))])
+        first = 0
+        while first < batch.num_rows:
+            last = max(int(np.searchsorted(upto, upto[first] + part_bytes, "right")) - 1, first + 1)
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def _counted(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(host, hash, n) of the passages in each portion: the intervals of the suffix array of each host in it."""
+    for part in _portions(batches, part_bytes):
+        of: dict[str, list[list[list[str]]]] = {}
+        for host, page in zip(part.column("host").to_pylist(), _read(part.column("blocks")), strict=True):
+            of.setdefault(host, []).append(_words(page))
+        for host, pages in of.items():
+            found, n = passages(pages)
+            yield pa.RecordBatch.from_arrays([pa.array([host], pa.string()).take(pa.array(np.zeros(len(found), np.int32))), pa.array(found), pa.array(n)], ["host", "hash", "n"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch], part_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(host, key, hash) of the passages of each page."""
+    for part in _portions(batches, part_bytes):
+        found = [np.unique(page_passages(_words(page))) for page in _read(part.column("blocks"))]
+        rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        columns = [part.column("host").take(rows).cast(pa.string()), part.column("key").take(rows).cast(pa.binary()), pa.array(np.concatenate(found))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "key", "hash"])
 
 
 def extract_main_text(pages: DataFrame, keep: list[str], page: str = "html", url: str = "url", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -182,24 +291,44 @@ def extract_main_text(pages: DataFrame, keep: list[str], page: str = "html", url
     A null html is an empty one. Pages without a url, or whose url has no host, share the host ''. Repeated rows each give a row.
     """
     spark = pages.sparkSession
-    shipped(spark)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(f"`{url}`"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     body = F.coalesce(F.col(f"`{page}`"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in keep]
-    source = pages.select(host.alias("host"), F.struct(*kept).alias("kept"), body.alias("body"))
-    sizes = source.groupBy("host").agg(F.sum(F.octet_length("body")).alias("b")).filter(F.col("b") > part_bytes)
-    # Only hosts beyond one part: at most as many as the bytes of all pages hold parts.
-    large = near(sizes.select("host", F.ceil(F.col("b") / part_bytes).cast("int").alias("parts")))
-    dealt = source.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("body", *[f"kept.`{c}`" for c in keep]), F.coalesce("parts", F.lit(1))).cast("int"))
-    fields = [f for f in source.schema["kept"].dataType.fields]
-    schema = T.StructType([*fields, T.StructField("main_text", T.StringType())])
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)]
+    # What is covered depends on host and html alone: rows alike in both have the same key.
+    key = F.unhex(F.md5(F.concat_ws("\n", host, body)))
+    source = pages.select(*kept, host.alias("host"), key.alias("key"), F.octet_length(body).cast("long").alias("size"), body.alias("body"))
+    fields = [T.StructField("blocks", from_arrow_type(BLOCKS)), T.StructField("undecided", T.BooleanType())]
+    parsed = written(map_text(source, "body", [*names, "host", "key", "size"], fields, _parsing), "blocks")
+    article = F.expr("array_join(transform(filter(blocks, b -> b.article and not b.zone), b -> b.body), ' ')")
+    decided = parsed.filter("not undecided").select(*names, article.alias("main_text"))
+
+    hosts = near(parsed.groupBy("host").agg(F.sum("size").alias("size"), F.max("undecided").alias("any")).filter("any").select("host", (F.col("size") > part_bytes).alias("large")))
+    placed = parsed.join(hosts, "host")
+    schema = T.StructType([*parsed.select(*names).schema.fields, T.StructField("main_text", T.StringType())])
     arrow = to_arrow_schema(schema)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table["kept"].combine_chunks()
-        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-        columns = [x.cast(f.type) for x, f in zip(rows.flatten(), arrow, strict=False)]
-        return pa.Table.from_arrays([*columns, pa.array(main_texts(table["body"].to_pylist()), arrow.field(len(arrow) - 1).type)], schema=arrow)
+    def assembled(table: pa.Table | pa.RecordBatch, texts: list[str]) -> list[pa.Array]:
+        return [*(table.column(n).cast(arrow.field(n).type) for n in names), pa.array(texts, arrow.field("main_text").type)]
+
+    def whole_host(table: pa.Table) -> pa.Table:
+        undecided = table["undecided"].to_pylist()
+        texts = [t for t, u in zip(_texts(_read(table["blocks"])), undecided, strict=True) if u]
+        return pa.Table.from_arrays(assembled(table.filter(table["undecided"]), texts), schema=arrow)
+
+    small = placed.filter("not large").select(*names, "host", "blocks", "undecided").groupBy("host").applyInArrow(whole_host, schema)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _portions(batches, part_bytes):
+            repeated = part.column("repeated").to_pylist()
+            texts = [_text(page, covered_by(_words(page), np.array(r or [], np.int64))) for page, r in zip(_read(part.column("blocks")), repeated, strict=True)]
+            yield pa.RecordBatch.from_arrays(assembled(part, texts), schema=arrow)
 
-    # Dealt by host and part: a shuffle by host alone would gather a large host again.
-    return dealt.select("host", "part", "kept", "body").repartition("host", "part").groupBy("host", "part").applyInArrow(run, schema)
+    large = placed.filter("large")
+    counts = large.select("host", "size", "blocks").mapInArrow(lambda batches: _counted(batches, part_bytes), "host string, hash long, n long")
+    repeated = near(counts.groupBy("host", "hash").agg(F.sum("n").alias("n")).filter("n > 1").select("host", "hash"))
+    asked = large.filter("undecided")
+    found = asked.select("host", "key", "size", "blocks").mapInArrow(lambda batches: _listed(batches, part_bytes), "host string, key binary, hash long").distinct()
+    marks = found.join(repeated, ["host", "hash"]).groupBy("key").agg(F.collect_list("hash").alias("repeated"))
+    rest = asked.select(*names, "key", "size", "blocks").join(marks, "key", "left").mapInArrow(marked, schema)
+    return decided.union(small).union(rest).toDF(*keep, "main_text")

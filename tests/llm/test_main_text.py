@@ -66,3 +66,20 @@ def test_on_spark(spark, monkeypatch):
     expected = [(1, "good text"), (1, "good text"), (2, ""), (3, ""), (4, "plain text"), (None, "unended"), (6, "deep")] + [(100 + i, f"page {i}") for i in range(40)]
     assert found == sorted(expected, key=str)
     assert M.extract_main_text(df.limit(0), ["page_id"]).count() == 0
+
+
+def test_repeats_over_a_large_host(spark):
+    """Passages on two pages of a host count wherever its pages are, also where each page fills a part."""
+    import random
+
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    pairs = [words(12) for _ in range(15)]
+    htmls = [f"<body><p>{words(60)}</p><div>{pairs[i // 2]}</div><p>{words(60)} {pairs[14 - i // 2]}</p></body>" for i in range(30)]
+    htmls += [htmls[0], "<nav>only</nav>", f"<article><p>{words(5)}</p><p>{pairs[7]}</p></article>", "<p>short</p>"]
+    df = spark.createDataFrame([(i, "http://big.com/", x) for i, x in enumerate(htmls)], "page_id long, url string, html string").repartition(5)
+    expected = list(enumerate(M.main_texts(htmls)))
+    for part_bytes in (500, 3000, 1 << 20):
+        got = M.extract_main_text(df, ["page_id"], part_bytes=part_bytes)
+        assert sorted((r["page_id"], r["main_text"]) for r in got.collect()) == expected
+    assert not any(pair in text for pair in pairs for _, text in expected[:30]) and pairs[7] in expected[32][1]
