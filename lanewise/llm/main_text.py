@@ -6,8 +6,9 @@ blocks inside the page's article element, if it has one.
 
 The words of all blocks of a host's pages are laid end to end and their suffixes ranked by prefix doubling up to RUN words.
 Suffixes of equal rank that begin in distinct pages are repeated passages; the words they cover are boilerplate of the host. A
-block in a marked zone goes, covered or not. Of other blocks outside of an article the covered words go and the unique runs stay.
-Inside the article element all text stays: an article that is published on two pages is still the article of both.
+block in a marked zone goes, covered or not. On pages without an article element the covered words of the other blocks go and the
+unique runs stay. On pages with one, markup alone decides: all text outside of it goes, all text inside it stays, since an article
+that is published on two pages is still the article of both.
 
 A host beyond PART_BYTES is worked on in parts of that size, each with its own array. The intervals of all arrays of a host are
 merged by a 64-bit hash of their RUN words, so that a passage counts as repeated wherever in the host its pages are; the repeated
