@@ -102,7 +102,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, rate: float = 0.5) -> Model:
-    """A model from labelled texts; every fifth text is kept back for calibration."""
+    """A model from labelled texts; every fifth text of each language is kept back for calibration."""
     languages = sorted(set(labels))
     size = len(languages)
     if size < 2:
@@ -110,7 +110,10 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
     random = np.random.default_rng(seed)
     pieces: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     classes: tuple[list[int], list[int]] = ([], [])
-    for n, (text, label) in enumerate(zip(texts, labels, strict=True)):
+    seen = dict.fromkeys(languages, 0)
+    for text, label in zip(texts, labels, strict=True):
+        kept_back = seen[label] % 5 == 4
+        seen[label] += 1
         letters, _ = stream(*raw(pa.array([text], pa.large_string())))
         starts = np.arange(0, len(letters), PIECE)
         if len(starts) * PIECE > MAX_BYTES:
@@ -118,8 +121,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
         for s in starts:
             piece = letters[s : s + int(random.integers(PIECE // 8, PIECE + 1))]
             if (piece != 0).sum() >= 3:
-                pieces[n % 5 == 4].append(np.concatenate([subwords(piece, order) for order in ORDERS]).astype(np.uint16))
-                classes[n % 5 == 4].append(languages.index(label))
+                pieces[kept_back].append(np.concatenate([subwords(piece, order) for order in ORDERS]).astype(np.uint16))
+                classes[kept_back].append(languages.index(label))
     if not pieces[0]:
         return Model(languages, np.zeros((size, BUCKETS), np.float32), np.zeros(size))
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)

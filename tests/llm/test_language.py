@@ -58,3 +58,13 @@ def test_sample_is_bounded_and_doesnt_depend_on_partitions(spark, monkeypatch):
     L.fit(docs.repartition(7), sample=20)
     assert seen[0] == seen[1]
     assert all(seen[0][1].count(x) == 20 for x in set(seen[0][1]))
+
+
+@pytest.mark.parametrize("size", [2, 5, 10])
+def test_every_language_is_trained_and_kept_back(size):
+    """Also where the rows run label by label and their number is a multiple of the share that is kept back."""
+    names = [chr(ord("a") + i) for i in range(size)]
+    own = {x: " ".join(x + y + x for y in "aeioub") + " " for x in names}
+    model = L.train([own[x] * 4 for _ in range(40) for x in names], names * 40)
+    found, _ = model.predict(pa.array([own[x] for x in names]))
+    assert found == names and model.accuracy > 0.9 and model.floor > 0
