@@ -6,7 +6,10 @@ that. Embeddings and map are trained by stochastic gradient descent in numpy on
 linear up to the softmax, prediction needs only a table of BUCKETS x languages.
 
 Scores are calibrated with a temperature that fits texts kept back from training; a score under ``floor`` is a rejection.
-The floor is such that of the right answers on those texts hardly any is rejected.
+The floor is such that of the right answers on those texts hardly any is rejected. As the best of few languages always scores high, a
+text is rejected too if its subwords are unfamiliar: if their mean log frequency in training lies under ``least``, where 99 % of the
+pieces kept back do with their letters shuffled (if it is under 99 % of the pieces themselves; else there is no such bound). Texts shorter than any piece are judged by score alone, and a
+language that is spelled much like a learned one isn't told from it.
 
 Training reads a bounded sample of labelled rows (SAMPLE for each language, those of the least seeded hash) and MAX_BYTES of
 pieces from places spread over each of their texts. Prediction reads whole texts.
@@ -75,19 +78,31 @@ class Model:
     heat: float = 1.0
     floor: float = 0.0
     accuracy: float = field(default=float("nan"))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))  # log frequency of each subword, 0 if all were alike
+    least: float = float("-inf")
 
-    def logits(self, column: pa.Array) -> np.ndarray:
+    def logits(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The logits of each text, and whether its subwords are unfamiliar."""
         letters, at = stream(*raw(column))
         total = np.zeros((len(self.languages), len(column)))
+        known = np.zeros(len(column))
         for order in ORDERS:
             bucket = subwords(letters, order)
             for i, row in enumerate(self.table):
                 total[i] += np.add.reduceat(row[bucket], at[:-1])
-        return (total / (len(ORDERS) * np.diff(at)) + self.bias[:, None]).T
+            known += np.add.reduceat(self.common[bucket], at[:-1])
+        size = np.diff(at)
+        far = (known / (len(ORDERS) * size) < self.least) & (size >= PIECE // 8)
+        return (total / (len(ORDERS) * size) + self.bias[:, None]).T, far
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         """A language for each text (``und`` for null, or without a letter) and its calibrated score (then 0)."""
-        z = self.logits(column) * self.heat
+        return self.judge(column)[:2]
+
+    def judge(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """As ``predict``, and whether each text is rejected."""
+        z, far = self.logits(column)
+        z = z * self.heat
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         best = p.argmax(axis=1)
@@ -98,7 +113,7 @@ class Model:
         for i in np.flatnonzero(np.diff(ascii_letters[at]) == 0):
             if not _letter.search(column[i].as_py() or ""):
                 names[i], score[i] = UNKNOWN, 0.0
-        return names, score
+        return names, score, far | (score < self.floor) | np.array([x == UNKNOWN for x in names], bool)
 
 
 def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, rate: float = 0.5) -> Model:
@@ -107,7 +122,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
     size = len(languages)
     if size < 2:
         return Model(languages, np.zeros((size, BUCKETS), np.float32), np.zeros(size))
-    random = np.random.default_rng(seed)
+    random, shuffling = np.random.default_rng(seed), np.random.default_rng(seed + 1)
+    noise: list[np.ndarray] = []
     pieces: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
     classes: tuple[list[int], list[int]] = ([], [])
     seen = dict.fromkeys(languages, 0)
@@ -123,6 +139,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
             if (piece != 0).sum() >= 3:
                 pieces[kept_back].append(np.concatenate([subwords(piece, order) for order in ORDERS]).astype(np.uint16))
                 classes[kept_back].append(languages.index(label))
+                if kept_back:
+                    noise.append(np.concatenate([subwords(shuffling.permutation(piece), order) for order in ORDERS]))
     if not pieces[0]:
         return Model(languages, np.zeros((size, BUCKETS), np.float32), np.zeros(size))
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
@@ -151,6 +169,13 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
             bias -= np.float32(step / len(take)) * p.sum(axis=0).astype(np.float32)
             steps += 1
     model = Model(languages, np.ascontiguousarray((embedding @ linear).T), bias.astype(np.float64))
+    seen_often = sum((np.bincount(p, minlength=BUCKETS) for p in pieces[0]), np.zeros(BUCKETS)) + 0.5
+    model.common = np.log(seen_often / seen_often.mean()).astype(np.float32)
+    long = [i for i, p in enumerate(pieces[1]) if len(p) >= len(ORDERS) * (PIECE // 8)]
+    if long:
+        clean, odd = (np.array([model.common[x[i]].mean() for i in long]) for x in (pieces[1], noise))
+        low, high = np.quantile(clean, 0.01), np.quantile(odd, 0.99)
+        model.least = float(high) if high < low else model.least
     return _calibrated(model, pieces[1], np.array(classes[1], int))
 
 
@@ -199,7 +224,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
-    """Columns ``keep`` with lang_pred, score (0 to 1) and rejected (score under the model's floor, or ``und``), named with ``prefix``.
+    """Columns ``keep`` with lang_pred, score (0 to 1) and rejected (``und``, a score under the model's floor, or unfamiliar), named with ``prefix``.
 
     Null texts and texts without a letter are ``und`` with score 0, and so are all texts if no language was learned.
     """
@@ -211,8 +236,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text",
         def compute(column: pa.Array) -> list:
             if not model.languages:
                 return [pa.array([UNKNOWN] * len(column)), np.zeros(len(column)), np.ones(len(column), bool)]
-            names, score = model.predict(column)
-            return [pa.array(names, pa.string()), score, (score < model.floor) | np.array([x == UNKNOWN for x in names])]
+            names, score, rejected = model.judge(column)
+            return [pa.array(names, pa.string()), score, rejected]
 
         return compute
 

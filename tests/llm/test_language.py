@@ -1,3 +1,5 @@
+import random
+
 import pyarrow as pa
 import pytest
 from corpus import DOCS, odd_rows
@@ -68,3 +70,17 @@ def test_every_language_is_trained_and_kept_back(size):
     model = L.train([own[x] * 4 for _ in range(40) for x in names], names * 40)
     found, _ = model.predict(pa.array([own[x] for x in names]))
     assert found == names and model.accuracy > 0.9 and model.floor > 0
+
+
+@pytest.mark.parametrize("languages", [("en", "de"), ("de", "en", "es", "fr")])
+def test_foreign_and_shuffled_texts_are_rejected(spark, languages):
+    rng = random.Random(1)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").filter(F.col("lang").isin(*languages) & F.col("text").isNotNull())
+    model = L.fit(docs.filter("doc_id % 2 = 0"))
+    clean = [r["text"] for r in docs.filter("doc_id % 2 = 1").select("text").collect() if L._letter.search(r["text"])]
+    shuffled = ["".join(rng.sample(t[:600], len(t[:600]))) for t in clean if len(t) > 300][:50]
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)) for _ in range(10)]
+    odd += ["Съешь же ещё этих мягких французских булок да выпей чаю", "Pchnąć w tę łódź jeża lub ośm skrzyń fig i dodać do tego trochę mąki"]
+    assert model.judge(pa.array(odd))[2].all()
+    assert model.judge(pa.array(shuffled))[2].mean() >= 0.95
+    assert model.judge(pa.array(clean))[2].mean() <= 0.002
