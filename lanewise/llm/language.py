@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ from ._text import map_text, mix, raw
 SAMPLE = 500
 LANGUAGES = 1000
 MAX_BYTES = 2000
+#: Parts of a very long text, each of which gives one excerpt of MAX_BYTES characters for training to take pieces from.
+EXCERPTS = 50
 BUCKETS = 1 << 15
 ORDERS = (2, 3, 4)
 DIMENSION = 16
@@ -200,6 +202,14 @@ def _calibrated(model: Model, pieces: list[np.ndarray], target: np.ndarray) -> M
     return model
 
 
+def _spread(text: str, at: str, seed: int) -> Column:
+    """A text of up to EXCERPTS * MAX_BYTES characters, or of a longer one EXCERPTS excerpts, each from a seeded place in its own part of the whole."""
+    size = f"length({text}) div {EXCERPTS}"
+    place = f"i * ({size}) + pmod(xxhash64({seed}, {at}, i), {size} - {MAX_BYTES} + 1)"
+    excerpts = f"transform(sequence(0, {EXCERPTS - 1}), i -> substring({text}, cast({place} as int) + 1, {MAX_BYTES}))"
+    return F.expr(f"if(length({text}) <= {EXCERPTS * MAX_BYTES}, {text}, array_join({excerpts}, '\\n'))")
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", sample: int = SAMPLE, seed: int = 5) -> Model:
     """A model from at most ``sample`` rows for each label; rows with a null text or label are left out.
 
@@ -219,7 +229,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     at = F.xxhash64(F.lit(seed), col(key))
     some = rows.select(col(label).cast("string").alias("label"), col(text).alias("text"), at.alias("at")).filter((F.pmod("at", F.lit(1 << 20)) / float(1 << 20)) < F.try_element_at(shares, F.col("label")))
     by = Window.partitionBy("label").orderBy("at", F.md5("text"))
-    table = some.withColumn("n", F.row_number().over(by)).filter(f"n <= {sample}").select("label", "n", F.substring("text", 1, 50 * MAX_BYTES).alias("text")).toArrow().sort_by([("n", "ascending"), ("label", "ascending")])
+    table = some.withColumn("n", F.row_number().over(by)).filter(f"n <= {sample}").select("label", "n", _spread("text", "at", seed).alias("text")).toArrow().sort_by([("n", "ascending"), ("label", "ascending")])
     return train(table["text"].to_pylist(), table["label"].to_pylist(), seed)
 
 

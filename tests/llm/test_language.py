@@ -84,3 +84,15 @@ def test_foreign_and_shuffled_texts_are_rejected(spark, languages):
     assert model.judge(pa.array(odd))[2].all()
     assert model.judge(pa.array(shuffled))[2].mean() >= 0.95
     assert model.judge(pa.array(clean))[2].mean() <= 0.002
+
+
+def test_pieces_come_from_the_whole_of_a_long_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda texts, labels, seed: seen.extend(texts))
+    long = "".join(f"{i:09d} " for i in range(40_000))
+    L.fit(spark.createDataFrame([(1, long, "en"), (2, long[:100_000], "de")], "doc_id long, text string, lang string"))
+    assert seen[0] == long[:100_000]
+    excerpts = seen[1].split("\n")
+    assert [len(x) for x in excerpts] == [L.MAX_BYTES] * L.EXCERPTS
+    size = len(long) // L.EXCERPTS
+    assert all(i * size <= long.index(x) <= (i + 1) * size - L.MAX_BYTES for i, x in enumerate(excerpts))
