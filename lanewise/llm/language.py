@@ -18,10 +18,12 @@ pieces from places spread over each of their texts. Prediction reads whole texts
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -217,19 +219,28 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """
     col = lambda c: F.col(f"`{c}`")
     rows = labelled.filter(col(label).isNotNull() & col(text).isNotNull())
-    # Counting by label alone reads no text; rows without one only make the share below a little smaller.
-    labels = labelled.filter(col(label).isNotNull()).groupBy(col(label).cast("string").alias("label"))
+    labels = rows.groupBy(col(label).cast("string").alias("label"))
     counts = {r["label"]: r["n"] for r in labels.agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(counts) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} labels")
     if not counts:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    # A share of hash values that holds about twice the sample; the rest of the way is a window over those few rows.
-    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 2.0 * sample / n))])
     at = F.xxhash64(F.lit(seed), col(key))
-    some = rows.select(col(label).cast("string").alias("label"), col(text).alias("text"), at.alias("at")).filter((F.pmod("at", F.lit(1 << 20)) / float(1 << 20)) < F.try_element_at(shares, F.col("label")))
     by = Window.partitionBy("label").orderBy("at", F.md5("text"))
-    table = some.withColumn("n", F.row_number().over(by)).filter(f"n <= {sample}").select("label", "n", _spread("text", "at", seed).alias("text")).toArrow().sort_by([("n", "ascending"), ("label", "ascending")])
+
+    def drawn(shares: dict[str, float]) -> pa.Table:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("label"))
+        some = rows.select(col(label).cast("string").alias("label"), col(text).alias("text"), at.alias("at")).filter((F.pmod("at", F.lit(1 << 20)) / float(1 << 20)) < share)
+        return some.withColumn("n", F.row_number().over(by)).filter(f"n <= {sample}").select("label", "n", _spread("text", "at", seed).alias("text")).toArrow()
+
+    # A share of hash values that holds about twice the sample; the rest of the way is a window over those few rows.
+    table = drawn({name: min(1.0, 2.0 * sample / n) for name, n in counts.items()})
+    have = Counter(table["label"].to_pylist())
+    short = {name: 1.0 for name, n in counts.items() if have[name] < min(sample, n)}
+    if short:  # few of its keys, or unlucky ones
+        enough = pa.compute.invert(pa.compute.is_in(table["label"], pa.array(list(short), table.schema.field("label").type)))
+        table = pa.concat_tables([table.filter(enough), drawn(short)])
+    table = table.sort_by([("n", "ascending"), ("label", "ascending")])
     return train(table["text"].to_pylist(), table["label"].to_pylist(), seed)
 
 

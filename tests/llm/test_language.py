@@ -96,3 +96,11 @@ def test_pieces_come_from_the_whole_of_a_long_text(spark, monkeypatch):
     assert [len(x) for x in excerpts] == [L.MAX_BYTES] * L.EXCERPTS
     size = len(long) // L.EXCERPTS
     assert all(i * size <= long.index(x) <= (i + 1) * size - L.MAX_BYTES for i, x in enumerate(excerpts))
+
+
+def test_sample_is_full_where_most_texts_are_null_or_keys_alike(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda texts, labels, seed: seen.extend(labels))
+    rows = [(i, f"text {i}" if i % 100 == 0 else None, "nulls") for i in range(4000)] + [(7, f"same {i}", "alike") for i in range(300)] + [(i, f"few {i}", "few") for i in range(5)]
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert {x: seen.count(x) for x in seen} == {"nulls": 20, "alike": 20, "few": 5}
