@@ -7,6 +7,7 @@ All characters beyond ASCII consist of bytes from 0x80 in UTF-8, so working on b
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -18,30 +19,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ._store import shipped
 
-#: Bytes of text that are handled at a time; a longer text is handled alone. About 60 bytes of memory are needed for each.
+#: Bytes of text that are handled at a time; a longer text is handled alone. Its words are found in slices of that size, so what it
+#: needs besides itself is about 10 bytes for each of its words (more in operators that keep more for each word).
 SLICE_BYTES = 1 << 20
+#: Bytes from which a word is hashed on its own.
+LONG_WORD = 512
 
 _U = np.uint64
-_BASE = 0x9E6C63D0876A9A47
 _fold = np.zeros(256, np.uint8)
 _fold[0x30:0x3A] = np.arange(0x30, 0x3A)
 _fold[0x41:0x5B] = np.arange(0x61, 0x7B)
 _fold[0x61:0x7B] = np.arange(0x61, 0x7B)
 _fold[0x80:] = np.arange(0x80, 0x100)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, n: int) -> np.ndarray:
-    have = _powers.get(kind)
-    if have is None or len(have) < n:
-        base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n, SLICE_BYTES), base, _U)
-        steps[0] = 1
-        made = np.cumprod(steps, dtype=_U)
-        if n > 4 * SLICE_BYTES:
-            return made
-        _powers[kind] = have = made
-    return have
+_low_bytes = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -66,49 +56,85 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """``hash`` of each word; those of text i are ``bounds[i]:bounds[i + 1]``; ``text`` is the text each word is in."""
+    """``hash`` of each word; those of text i are ``bounds[i]:bounds[i + 1]``; ``text`` is the text each word is in.
+
+    ``start`` and ``size``, if asked for, are the place of each word in the bytes of all texts, and its bytes.
+    """
 
     hash: np.ndarray
     bounds: np.ndarray
     text: np.ndarray
-
-
-def words(column: pa.Array) -> Words:
-    """All words of a column of texts, in order."""
+    start: np.ndarray | None = None
+    size: np.ndarray | None = None
+
+
+def hashes(folded: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each word of folded bytes: eight bytes at a time, with a finaliser after each, so that no sum of them can cancel out."""
+    padded = np.zeros(len(folded) + 8, np.uint8)
+    padded[: len(folded)] = folded
+    eight = np.ndarray((len(folded) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(size.astype(_U) * _U(0x9E6C63D0876A9A47) + _U(1))
+    live, at = np.flatnonzero((size > 0) & (size < LONG_WORD)), 0
+    while len(live):
+        chunk = eight[start[live] + at] & _low_bytes[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ chunk)
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size >= LONG_WORD).tolist():
+        word = folded[start[i] : start[i] + size[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    return out
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z, and 0 for those that aren't in a word."""
+    return _fold[data]
+
+
+def _cut(data: np.ndarray, fold: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of about SLICE_BYTES that no word reaches out of."""
+    begin, n = 0, len(data)
+    while begin < n:
+        end = min(n, begin + SLICE_BYTES)
+        while end < n:
+            outside = np.flatnonzero(fold[data[end : end + 4096]] == 0)
+            if len(outside):
+                end += int(outside[0])
+                break
+            end = min(n, end + 4096)
+        yield begin, end
+        begin = end
+
+
+def words(column: pa.Array, places: bool = False, folding: np.ndarray = _fold) -> Words:
+    """All words of a column of texts, in order. ``folding`` has for each byte what it counts as in a word, 0 if it is in none."""
     data, at = raw(column)
-    n = len(data)
-    folded = _fold[data]
-    inside = folded != 0
-    cut = np.zeros(n + 1, bool)
-    cut[at] = True
-    before = np.empty(n, bool)
-    if n:
-        before[0] = False
-        before[1:] = inside[:-1]
-        before &= ~cut[:n]
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, bool)
-    if n:
-        after[-1] = False
-        after[:-1] = inside[1:]
-        after &= ~cut[1:]
-    ends = np.flatnonzero(inside & ~after) + 1
-    total = np.zeros(n + 1, _U)
-    np.cumsum(folded * _power("up", n)[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power("down", n)[starts])
-    bounds = np.searchsorted(starts, at)
+    starts, sizes, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for begin, end in _cut(data, folding):
+        folded = folding[data[begin:end]]
+        first = np.zeros(end - begin + 1, bool)  # where a text begins
+        first[at[np.searchsorted(at, begin) : np.searchsorted(at, end, "right")] - begin] = True
+        inside = np.zeros(end - begin + 2, bool)
+        inside[1:-1] = folded != 0
+        start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1]))
+        size = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1 - start
+        starts.append(start + begin)
+        sizes.append(size)
+        codes.append(hashes(folded, start, size))
+    start = np.concatenate(starts)
+    bounds = np.searchsorted(start, at)
     text = np.repeat(np.arange(len(column)), np.diff(bounds))
-    return Words(hashes, bounds, text)
+    return Words(np.concatenate(codes), bounds, text, *((start, np.concatenate(sizes)) if places else ()))
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each on, for all but the last n - 1; the caller drops those that reach into the next text."""
-    count = max(0, len(hashes) - n + 1)
+    count = max(0, len(words) - n + 1)
     out = np.zeros(count, _U)
     factor = 1
     for i in range(n):
         factor = factor * 0xF1357AEA2E62A9C5 % (1 << 64)
-        out += hashes[i : i + count] * _U(factor)
+        out += words[i : i + count] * _U(factor)
     return mix(out)
 
 

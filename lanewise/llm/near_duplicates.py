@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -308,9 +308,14 @@ def _verified(members: DataFrame, similarity: float) -> DataFrame:
     return done.union(components(first.union(second)))
 
 
+def _text_hash(text: str) -> Column:
+    """16 bytes that stand for a text; null for null."""
+    return F.unhex(F.md5(F.col(f"`{text}`")))
+
+
 def signed_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A pinned table (id, text_hash, words_key, bands) with a row for each row of docs."""
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _text_hash(text).alias("text_hash"), F.col(f"`{text}`").alias("text"))
     return pinned(signed(rows, ["id", "text_hash"], "text"))
 
 
@@ -322,7 +327,7 @@ def classes(docs: DataFrame, rows: DataFrame, text: str, similarity: float) -> D
     stars = spread.join(near(least), ["band", "code"]).select(F.col("words_key").alias("a"), "b").filter("a <> b").distinct()
     groups = components(stars)
     wanted = pinned(groups.join(marks.select(F.col("words_key").alias("node"), "text_hash"), "node"))
-    hashed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text")).filter("text is not null")
+    hashed = docs.select(_text_hash(text).alias("text_hash"), F.col(f"`{text}`").alias("text")).filter("text is not null")
     texts = hashed.join(_near(wanted.select("text_hash").distinct(), wanted.count()), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     bags = bagged(texts, [], "text").filter("words_key is not null")
     members = wanted.join(bags, wanted["node"] == bags["words_key"]).select("root", "node", "bag")
@@ -362,7 +367,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     dropped = pinned(worded.alias("w").join(kept.alias("k"), same("w", "k"), "left_anti").select("id", "text_hash").distinct())
     repeated = pinned(kept.filter("n > 1").select("id", "text_hash"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), row)
+    keyed = docs.select(F.col(f"`{key}`").alias("id"), _text_hash(text).alias("text_hash"), row)
     left = keyed.alias("d").join(_near(dropped, dropped.count()).alias("x"), same("d", "x"), "left_anti")
     twice = repeated.count()
     if not twice:

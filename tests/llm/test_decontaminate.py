@@ -76,3 +76,30 @@ def test_empty_tables_and_clashing_names(spark):
     assert got.columns == [*docs.columns, "d_n_words", "d_n_hit", "d_n_items", "d_items", "d_contaminated"]
     assert got.filter("d_contaminated").count() > 0
     assert D.contamination(docs.limit(0), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [256, 1024, 4096])
+def test_words_that_collide_in_polynomial_hashes(spark, n):
+    a, b = (("".join("ab"[(i.bit_count() + k) % 2] for i in range(n))) for k in (0, 1))
+    items = [(1, a), (2, " ".join([a] * 10))]
+    rows = [(1, b, "en", "s"), (2, " ".join([b] * 12), "en", "s"), (3, f"x {a} y", "en", "s")]
+    assert run(spark, rows, items) == brute(rows, items)
+
+
+def test_words_of_equal_hashes_are_compared(monkeypatch):
+    """With a hash that takes all words of a length for one, hits are still exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lanewise.llm import _text
+
+    monkeypatch.setattr(_text, "hashes", lambda folded, start, size: size.astype(np.uint64))
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    items = [(i, text(rng.randrange(1, 14))) for i in range(8)]
+    rows = [(i, text(rng.randrange(0, 60)), "en", "s") for i in range(25)] + [(99, f"c {items[0][1]} c", "en", "s")]
+    for most in (5, 1 << 20):
+        monkeypatch.setattr(D, "MATCHES", most)
+        bounds, hit, found = D.scan(pa.array([r[1] for r in rows]), D.build([str(i) for i, _ in items], [t for _, t in items]))
+        got = [(r[0], int(bounds[n + 1] - bounds[n]), int(hit[bounds[n] : bounds[n + 1]].sum()), len(found[n])) for n, r in enumerate(rows)]
+        assert sorted(got, key=str) == [r[:4] for r in brute(rows, items)]
