@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 MOST_BROADCAST = 500_000
 
 
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``, or else a new local one."""
+    """The folder that driver and executors share: the one in ``spark.checkpoint.dir``.
+
+    Where that is unset a new local folder serves, if driver and executors are one process; on a cluster it is an error.
+    """
     context = spark.sparkContext
     kept = context._jsc.sc().getCheckpointDir()
     if kept.isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not _one_process(context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lanewise-"))
         kept = context._jsc.sc().getCheckpointDir()
     return kept.get()
@@ -43,19 +52,33 @@ def near(df: DataFrame) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle and checkpoint files of frames that nothing refers to any more, between steps of a long job."""
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more, between steps of a long job.
+
+    Their checkpoint files go too if ``spark.cleaner.referenceTracking.cleanCheckpoints`` was set when the context began; else they
+    stay until the checkpoint folder is cleared.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a columnar table in the shared checkpoint folder, read back."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """``df`` as a columnar table in the shared checkpoint folder, read back. ``removed`` deletes it."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made, once nothing reads it any more; other files stay."""
+    context = table.sparkSession.sparkContext
+    folder = checkpoint_folder(table.sparkSession)
+    for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(parent)
+        if path.toUri().getPath().startswith(context._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath() + "/"):
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have in any case."""
     taken = {c.lower() for c in df.columns}

@@ -138,6 +138,25 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def winnow(words: np.ndarray, text: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of k words that are kept, and the place of each one's first word: of each ``window`` words of a text the least, the last among equals."""
+    g = grams(words, k)
+    span = window - k + 1
+    count = len(g) - span + 1
+    if count <= 0:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    least, at = g[:count].copy(), np.zeros(count, np.int64)
+    for i in range(1, span):
+        better = g[i : i + count] <= least
+        least[better] = g[i : i + count][better]
+        at[better] = i
+    whole = text[:count] == text[window - 1 : window - 1 + count]
+    keep = np.zeros(len(g), bool)
+    keep[(np.arange(count) + at)[whole]] = True
+    places = np.flatnonzero(keep)
+    return g[places], places
+
+
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about SLICE_BYTES of text, or with one longer text."""
     column = batch.column(text)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import free_name, pinned, written
-from ._text import fold, grams, map_text, raw, words
+from ._text import fold, grams, map_text, raw, winnow, words
 
 K = 5
 WINDOW = 10
@@ -56,25 +56,6 @@ class Index:
     size: np.ndarray
 
 
-def winnow(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The kept hashes of k words, and the place of each one's first word."""
-    g = grams(hashes, K)
-    span = WINDOW - K + 1
-    count = len(g) - span + 1
-    if count <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    least, at = g[:count].copy(), np.zeros(count, np.int64)
-    for i in range(1, span):
-        better = g[i : i + count] <= least
-        least[better] = g[i : i + count][better]
-        at[better] = i
-    whole = text[:count] == text[WINDOW - 1 : WINDOW - 1 + count]
-    keep = np.zeros(len(g), bool)
-    keep[(np.arange(count) + at)[whole]] = True
-    places = np.flatnonzero(keep)
-    return g[places], places
-
-
 def _sieve(prints: np.ndarray) -> np.ndarray:
     sieve = np.zeros(1 << 22, bool)
     sieve[(prints >> np.uint64(42)).astype(np.int64)] = True
@@ -85,7 +66,7 @@ def build(names: list[str], texts: list[str]) -> Index:
     column = pa.array(texts, pa.large_string())
     w = words(column, places=True)
     counts = np.diff(w.bounds)
-    prints, places = winnow(w.hash, w.text)
+    prints, places = winnow(w.hash, w.text, K, WINDOW)
     order = np.argsort(prints, kind="stable")
     short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for n in {int(x) for x in counts if 0 < x < WINDOW}:
@@ -127,7 +108,7 @@ def scan(column: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray, list[d
             for t, i in np.unique(np.stack([w.text[begin], index.item[there]]), axis=1).T.tolist():
                 items[t].add(i)
 
-    prints, places = winnow(w.hash, w.text)
+    prints, places = winnow(w.hash, w.text, K, WINDOW)
     maybe = index.sieve[(prints >> np.uint64(42)).astype(np.int64)]
     for d, b in _pairs(prints[maybe], index.prints, index.places, places[maybe]):
         left, right = _extend(w, index, d, b)

@@ -83,3 +83,111 @@ def test_repeats_over_a_large_host(spark):
         got = M.extract_main_text(df, ["page_id"], part_bytes=part_bytes)
         assert sorted((r["page_id"], r["main_text"]) for r in got.collect()) == expected
     assert not any(pair in text for pair in pairs for _, text in expected[:30]) and pairs[7] in expected[32][1]
+
+
+SHAPES = [
+    ("<p>Intro</p><div class='story'>teaser</div><p>the real text</p>", "Intro teaser the real text"),
+    ("<div class='story'><p>the whole long text of it</p></div><div>more</div>", "the whole long text of it"),
+    ("<article><h2 class='share-price'>Share price falls</h2><p>x</p></article>", "Share price falls x"),
+    ("<article><p class='ad-hoc-nets'>Nets</p><p>x</p></article>", "Nets x"),
+    ("<article>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</article>", "so x=2 holds"),
+    ("<article><math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math></article>", "y"),
+    ("<article>a<svg><text>logo</text></svg>b</article>", "a b"),
+    ("<article>a</article><article>b</article>", "a b"),
+    ("<article>a<article class='comment'>me too</article></article>", "a"),
+    ("<main>a<section class='related-posts'>see</section>b</main>", "a b"),
+    ("<main>a<div class='widget widget-2'>w</div></main>", "a"),
+    ("<main>a<div class='search-results'>found</div></main>", "a found"),
+    ("<div itemprop='articleBody'>a</div><div>much more text than that</div>", "a"),
+    ("<div role='main'>a<div role='search'>s</div></div><p>out of it all</p>", "a"),
+    ("<div class='page-header'>Site</div><p>text</p>", "text"),
+    ("<article><div class='post-header'>Head</div><p>text</p></article>", "Head text"),
+    ("<header>Site</header><p>text</p><footer>f</footer>", "text"),
+    ("<article><header><h1>H</h1></header>t<footer>by me</footer></article>", "H t"),
+    ("<article><ul><li>one<li>two</ul></article>", "one two"),
+    ("<article><table><tr><td>1</td><td>2</td></tr></table></article>", "1 2"),
+    ("<article><pre>a\n   b\tc</pre></article>", "a b c"),
+    ("<article>a<br>b<hr>c<img alt='d'>e</article>", "a b ce"),
+    ("<article>a<!-- x > y --> b<!doctype z> c<?php 1 ?></article>", "a b c"),
+    ("<article>&lt;b&gt; &amp;lt; &#x41;&nbsp;&eacute;&notanentity;</article>", "<b> &lt; A é¬anentity;"),
+    ("<article>1 < 2 <3 a<b</article>", "1 < 2 <3 a<b"),
+    ("<article>a<script>if (1 < 2) '</p>'</script>b<style>p{}</style></article>", "a b"),
+    ("<article>a<noscript>off</noscript><textarea>t</textarea><template>u</template></article>", "a"),
+    ("<article>a<script>never ended</article><p>gone", "a"),
+    ("<article>a<!-- never ended</article>", "a"),
+    ("<article>a</b></i></div>b</p>c</article>", "ab c"),
+    ("<article><b>a<p>b</b>c</article>d", "a bc"),
+    ("<article><p>a<div>b</div>c</p></article>", "a b c"),
+    ("<article><a title=\"x > y\" href='/z'>a</a>b</article>", "ab"),
+    ("<ARTICLE><P>Upper</P><ASIDE>no</ASIDE></ARTICLE>", "Upper"),
+    ("<article><p hidden>no</p><p data-hidden-by='x'>yes</p></article>", "yes"),
+    ("<article><div style='color:red;display:none'>no</div><div style='display:block'>yes</div></article>", "yes"),
+    ("<article/><p>self-closed</p>", "self-closed"),
+    ("<nav>only</nav>", ""),
+    ("<div class='cookie-consent-banner'>ok?</div>", ""),
+    ("<div id='comments'><p>c</p></div><div class='content'><p>t</p></div>", "t"),
+    ("no markup at all", "no markup at all"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHAPES)
+def test_page_shapes(page, text):
+    assert M.main_texts([page]) == [text]
+
+
+def test_odd_markup_in_linear_time():
+    import time
+
+    for page in ("<i></b>" * 150_000, "<b><article>" + "<i>x</b>" * 120_000, "<i>" * 100_000 + "<div></div>" * 50_000, "<!" * 500_000, "<a '" * 250_000, "<article>" * 60_000 + "</p>" * 60_000):
+        began = time.process_time()
+        M.blocks(page)
+        assert time.process_time() - began < 5, page[:20]
+
+
+def site(rng, n, boiler, copies=0):
+    """Pages with boilerplate inside the article, in its own words, some in another order; copies of one article at the end."""
+    text = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    bodies = [text(40) for _ in range(n)] + [text(40)] * copies
+    made = []
+    for i, b in enumerate(bodies):
+        cut = i % 40
+        words = b.split()
+        made.append((" ".join(words), PAGE.format(body=f"<article><p>{' '.join(words[:cut])}</p><p>{boiler}</p><p>{' '.join(words[cut:])} ({i})</p></article>", host="h") if i % 7 else PAGE.format(body=f"<article><p>{b} ({i})</p></article>", host="h")))
+    return [(f"{b} ({i})", page) for i, (b, page) in enumerate(made)]
+
+
+BOILER = "more of this in our letter that you can have each week"
+
+
+def test_template_inside_of_articles(monkeypatch):
+    import random
+
+    made = site(random.Random(1), 12, BOILER)
+    assert M.main_texts([p for _, p in made]) == [t for t, _ in made]
+    # Two pages are no template, and neither is a passage on fewer than half of the pages.
+    assert all(BOILER in t for t in M.main_texts([made[1][1], made[2][1]]))
+    some = [p.replace(BOILER, f"w{i}") if i > 4 else p for i, (_, p) in enumerate(made)]
+    assert sum(BOILER in t for t in M.main_texts(some)) == 4
+    # Without the array nothing goes.
+    monkeypatch.setattr(M, "covered_by", lambda page, repeated, run=8: [__import__("numpy").zeros(len(b), bool) for b in page])
+    assert sum(BOILER in t for t in M.main_texts([p for _, p in made])) == 10
+
+
+@pytest.mark.parametrize("most", [1 << 19, 0])
+def test_template_on_spark(spark, monkeypatch, most):
+    """The same for any size of parts, pages alike count once, and where tables are joined by shuffles."""
+    import random
+
+    from lanewise.llm import _store
+
+    monkeypatch.setattr(M, "MOST_BROADCAST", most)
+    monkeypatch.setattr(_store, "MOST_BROADCAST", most)
+    rng = random.Random(2)
+    hosts = {"a": site(rng, 14, BOILER), "b": site(rng, 10, BOILER, copies=9), "c": site(rng, 2, BOILER), "d": site(rng, 3, "x y")}
+    hosts["a"] += [hosts["a"][1]] * 30
+    rows = [(f"{h}{i}", f"https://{h}.org/{i}", page) for h, made in hosts.items() for i, (_, page) in enumerate(made)]
+    expected = sorted((f"{h}{i}", t) for h, made in hosts.items() for i, t in enumerate(M.main_texts([p for _, p in made])))
+    assert sum(BOILER in t for _, t in expected) == 1
+    df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(5)
+    for part_bytes in (400, 1 << 20) if most else (400,):
+        assert sorted(map(tuple, M.extract_main_text(df, ["page_id"], part_bytes=part_bytes).collect())) == expected
