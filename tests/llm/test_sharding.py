@@ -49,3 +49,69 @@ def test_odd_tables(spark):
     law_holds(shuffle_into_shards(same, 7).collect(), 7, 50)
     with pytest.raises(ValueError):
         shuffle_into_shards(df, 0)
+
+
+def test_many_identical_rows_and_a_huge_one(spark):
+    """100 000 rows alike spread over all buckets; a row of many buckets' size is kept too."""
+    from lanewise.llm import sharding
+
+    huge = "x" * 5_000_000
+    df = spark.range(100_000).selectExpr("1L as doc_id", "'same text' as text").union(spark.createDataFrame([(2, huge)], "doc_id long, text string"))
+    got = shuffle_into_shards(df, 24, bucket_bytes=(200_000, 200_000)).selectExpr("doc_id", "length(text) as n", "shard", "slot").collect()
+    law_holds(got, 24, 100_001)
+    assert Counter((r["doc_id"], r["n"]) for r in got) == {(1, 9): 100_000, (2, 5_000_000): 1}
+    seen = spark.read.parquet(max(__import__("glob").glob(sharding.written.__globals__["checkpoint_folder"](spark).replace("file:", "") + "/scattered-*"), key=__import__("os").path.getmtime))
+    buckets = [r["count"] for r in seen.selectExpr("pmod(drawn, 40) as b").groupBy("b").count().collect()]
+    assert len(buckets) == 40 and max(buckets) < 1.2 * 100_001 / 40
+
+
+def test_offsets_joined_by_a_shuffle(spark, monkeypatch):
+    from lanewise.llm import sharding
+
+    rows = [(i, f"text {i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    near = sorted(map(tuple, shuffle_into_shards(df, 5, bucket_bytes=(500, 500)).collect()))
+    monkeypatch.setattr(sharding, "MOST_BROADCAST", 0)
+    far = shuffle_into_shards(df, 5, bucket_bytes=(500, 500)).collect()
+    law_holds(far, 5, 300)
+    assert sorted(map(tuple, far)) == near
+
+
+def test_written_shards(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from lanewise.llm.sharding import write_shards
+
+    df = spark.range(1000).selectExpr("id as doc_id", "concat('t', id) as text", "array(id, null) as tags", "null as none")
+    where = {r["doc_id"]: (r["shard"], r["slot"]) for r in shuffle_into_shards(df, 6, bucket_bytes=(3000, 3000)).collect()}
+    write_shards(df.drop("none"), str(tmp_path / "out"), 6, bucket_bytes=(3000, 3000), rows_per_file=50)
+    seen = {}
+    for s in range(6):
+        files = sorted((tmp_path / "out" / f"shard={s}").glob("*.parquet"))
+        tables = [pq.ParquetFile(f).read() for f in files]
+        assert all(t.num_rows <= 50 for t in tables)
+        slots = [x for t in tables for x in t["slot"].to_pylist()]
+        assert slots == list(range(len(slots))) and len(slots) in (166, 167)
+        seen |= {i: (s, n) for n, i in enumerate(x for t in tables for x in t["doc_id"].to_pylist())}
+    assert seen.keys() == where.keys()
+    write_shards(df.limit(0).drop("none"), str(tmp_path / "empty"), 6)
+    assert shuffle_into_shards(df, 6).schema["none"].dataType.simpleString() == "void"
+
+
+def test_query(spark):
+    """All that the contract of the query says, but for which of the equal permutations it is."""
+    import zlib
+
+    from lanewise.llm.queries import op10_sharding
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = op10_sharding(spark, "/root/testdata/sf0.001")
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema][:7] == ["doc_id bigint", "size bigint", "text_crc32 bigint", "law string", "shard int", "slot bigint", "grown_shard int"]
+    rows = got.collect()
+    law_holds(rows, 24, len(docs))
+    for r in rows:
+        body = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(body) + 8, zlib.crc32(body), "rows", None)
+    assert {r["doc_id"] for r in rows} == docs.keys()
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert order != sorted(order)
