@@ -99,7 +99,6 @@ def _secrets() -> str:
     names = "[" + ", ".join(f"'{k}'" for k in secret_scan.KINDS) + "]"
     sums = "[" + ", ".join(map(str, secret_scan.SUMS)) + "]"
     n, window = "len(c)", secret_scan.WINDOW
-    allowed = " OR ".join(f"regexp_matches(x.v, '{p}')" for p in secret_scan.ALLOWED)
     assign = secret_scan.ASSIGN.replace("(?i)(", "((?i:", 1).replace(")(?-i)", "))", 1)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
@@ -108,7 +107,11 @@ base AS (
     UNION ALL SELECT r, kind, x.s::BIGINT, (x.s + x.n)::BIGINT FROM ({found(secret_scan.ACCESS, 1, "m")})
     UNION ALL SELECT r, kind, x.s::BIGINT, (x.s + x.n)::BIGINT FROM ({found(secret_scan.HEX, 2, "m")})
 ),
-candidates AS (SELECT r, x.s::BIGINT AS s, x.v AS v, string_split(x.v, '') AS c FROM ({found(secret_scan.CANDIDATE, 3, "m")}) WHERE NOT ({allowed})),
+runs AS (SELECT r, x.s::BIGINT AS s, string_split_regex(x.v, '{secret_scan.ALLOWED}') AS p, regexp_extract_all(x.v, '{secret_scan.ALLOWED}') AS m FROM ({found(secret_scan.CANDIDATE, 3, "m")})),
+candidates AS (
+    SELECT r, s + coalesce(list_sum(list_transform(p[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s, string_split(p[i], '') AS c
+    FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM runs)
+),
 windows AS (SELECT r, s, i, c[i + 1:i + {window}] AS c FROM (SELECT r, s, c, unnest(range(len(c) - {window} + 1)) AS i FROM candidates)),
 measured AS (
     SELECT r, s, i, len(list_filter(c, lambda x: x BETWEEN '0' AND '9')) AS digits, len(list_filter(c, lambda x: regexp_full_match(x, '[0-9a-fA-F]'))) AS hexes,
