@@ -35,16 +35,25 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return kept.get()
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder; survives the loss of executors."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` with columns of any type, computed once and kept in the shared checkpoint folder; survives the loss of executors."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept as a table in the shared folder; survives the loss of executors.
+
+    A table's size is known to the optimiser, while a checkpoint carries the estimate of its plan on, which grows with each join
+    until estimates alone take minutes.
+    """
+    return written(df, "pinned")
+
+
 def near(df: DataFrame) -> DataFrame:
     """A narrow table pinned and counted: to be broadcast if it is small.
 
-    Beyond MOST_BROADCAST rows it is joined by a shuffle. As it is pinned, both sides of such a join are plain exchanges, whose hot
+    Beyond MOST_BROADCAST rows it is joined by a shuffle. As it is a table, both sides of such a join are plain exchanges, whose hot
     partitions Spark can split.
     """
     kept = pinned(df)
@@ -69,14 +78,15 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(table: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made, once nothing reads it any more; other files stay."""
-    context = table.sparkSession.sparkContext
-    folder = checkpoint_folder(table.sparkSession)
-    for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        path = context._jvm.org.apache.hadoop.fs.Path(parent)
-        if path.toUri().getPath().startswith(context._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath() + "/"):
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+def removed(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``written`` or ``pinned`` made, once nothing reads them any more; other files stay."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        folder = path(checkpoint_folder(table.sparkSession)).toUri().getPath()
+        for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if path(parent).toUri().getPath().startswith(folder + "/"):
+                path(parent).getFileSystem(context._jsc.hadoopConfiguration()).delete(path(parent), True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

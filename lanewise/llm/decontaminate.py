@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import free_name, pinned, written
+from ._store import checkpointed, free_name, written
 from ._text import fold, grams, map_text, raw, winnow, words
 
 K = 5
@@ -226,7 +226,7 @@ def contamination(
         return map_text(docs, text, keep, fields, work)
     # Several portions: each pass gives the places that it finds, and is written before the next portion is built.
     row = free_name(docs, "row")
-    rows = pinned(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
     spans = [T.StructField("words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("found", T.ArrayType(T.StringType()))]
     found = None
     for _, index in chain([(many, only)], indexes):

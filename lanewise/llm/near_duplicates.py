@@ -12,8 +12,10 @@ pairs) and connected to candidate groups. Texts of equal words count as one from
 
 Verification. In each candidate group the multiset overlap (sum of minima over sum of maxima) decides. A group is searched breadth
 first: a text is compared with those not yet reached that share one of its rarest shingles, and those within the threshold are
-reached, which gives exactly the connected classes without listing pairs. A large group is searched in blocks that share a few pivots; the texts that this leaves
-unlinked to the largest class are then searched against every block; only spanning links leave a task.
+reached, which gives exactly the connected classes without listing pairs. A large group is searched in blocks that share a few
+pivots. The texts that this leaves unlinked to the largest class then meet each block that holds one of their rarest shingles among
+the rarest ones of its own texts: shingles are counted over the whole group (summed by block first) and blocks are found by ids
+alone, so bags only travel to blocks that may hold a partner. Only spanning links leave a task. Blocks are bounded in texts and bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import MOST_BROADCAST, near, pinned, released, shipped
+from ._store import MOST_BROADCAST, near, pinned, released, removed, shipped
 from ._text import Words, grams, map_text, mix, words
 
 SHINGLE = 5
@@ -33,6 +35,8 @@ BANDS, ROWS = 16, 4
 SIZE = BANDS * ROWS
 #: Texts that a task compares at a time, and pivots that the blocks of a larger group share.
 BLOCK, PIVOTS = 1024, 4
+#: Bytes of bags that a task compares at a time, unless one text alone has more.
+BLOCK_BYTES = 64 << 20
 _U = np.uint64
 _EMPTY = _U((1 << 64) - 1)
 
@@ -162,11 +166,16 @@ def bagged(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     return map_text(docs, text, keep, [T.StructField("words_key", T.BinaryType()), T.StructField("bag", T.ArrayType(T.LongType()))], work)
 
 
+def _first(size: np.ndarray, similarity: float) -> np.ndarray:
+    """Of how many elements, in any common order, two bags within the similarity share one: all but similarity * size, and one more."""
+    return size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+
+
 def linked(bags: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that span the connected classes of the graph of all pairs within the similarity, found breadth first.
 
-    Two bags within the similarity share one of the first elements of both in any common order, the first being all but
-    similarity * size of them, and one more. In order of rarity these are rare elements, so few bags are ever compared.
+    Two bags within the similarity share one of the first elements of both in any common order, the first being those of
+    ``_first``. In order of rarity these are rare elements, so few bags are ever compared.
     """
     n = len(bags)
     size = np.array([len(b) for b in bags], np.int64)
@@ -175,7 +184,7 @@ def linked(bags: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     _, element, counts = np.unique(values, return_inverse=True, return_counts=True)
     order = np.lexsort((element, counts[element], owner))
     place = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-    head = order[place < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)]
+    head = order[place < np.repeat(_first(size, similarity), size)]
     head = head[counts[element[head]] > 1]
     head_element, head_owner = element[head], owner[head]
     own_begin = np.searchsorted(head_owner, np.arange(n + 1))
@@ -218,15 +227,17 @@ def components(edges: DataFrame) -> DataFrame:
     last = shape(pairs)
     while last["n"]:
         # A row for each node. Where they are many they are pinned, so that the hot partitions of the join can be split.
-        for_join = F.broadcast if 2 * last["n"] <= MOST_BROADCAST else pinned
+        few = 2 * last["n"] <= MOST_BROADCAST
+        for_join = F.broadcast if few else pinned
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = for_join(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lower = for_join(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        pairs = pinned(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        before, pairs = pairs, pinned(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
         now = shape(pairs)
-        del both, least, large, lower, small
+        removed(before, *(() if few else (least, lower)))
+        del before, both, least, large, lower, small
         released(pairs.sparkSession)
         if now == last:
             break
@@ -237,15 +248,19 @@ def components(edges: DataFrame) -> DataFrame:
 _LINKS = "a binary, b binary"
 
 
+def _flat(bags: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all bags, and where each bag begins, with the end."""
+    column = bags.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    return column.values.to_numpy(), column.offsets.to_numpy()
+
+
 def _search(similarity: float):
     """From a group's nodes and bags: links of each node to the least node of its class within the group."""
 
     def run(table: pa.Table) -> pa.Table:
         keys = table["node"].to_pylist()
-        column = table["bag"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        begin = column.offsets.to_numpy()
-        values = column.values.to_numpy()
+        values, begin = _flat(table["bag"])
         bags = {k: values[begin[i] : begin[i + 1]] for i, k in enumerate(keys)}  # a pivot may come twice
         names = list(bags)
         top = {n: n for n in names}
@@ -264,6 +279,44 @@ def _search(similarity: float):
     return run
 
 
+def _counted(table: pa.Table) -> pa.Table:
+    """(root, block, element, n) of a block: in how many of its bags each element is."""
+    values, begin = _flat(table["bag"])
+    element, n = np.unique(values[begin[0] : begin[-1]], return_counts=True)
+    same = pa.array(np.zeros(len(element), np.int32))
+    return pa.table({"root": table["root"].combine_chunks().take(same), "block": table["block"].combine_chunks().take(same), "element": pa.array(element, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+def _heads(similarity: float):
+    """From a block's (root, block, node, stray, bag) and the (element, total) of its elements that the group has more than once: (root, block,
+    node, element) of the rarest elements of each stray, and with a null node those of all the block's texts."""
+
+    def run(block: pa.Table, common: pa.Table) -> pa.Table:
+        values, begin = _flat(block["bag"])
+        values, size = values[begin[0] : begin[-1]], np.diff(begin).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size)
+        element, total = common["element"].to_numpy(), common["total"].to_numpy()
+        order = np.argsort(element, kind="stable")
+        element, total = element[order], total[order]
+        at = np.minimum(np.searchsorted(element, values), max(len(element) - 1, 0))
+        shared = element[at] == values if len(element) else np.zeros(len(values), bool)
+        values, owner, at = values[shared], owner[shared], at[shared]
+        # Elements that no other text has come first of all.
+        many = np.bincount(owner, minlength=len(size))
+        left = _first(size, similarity) - (size - many)
+        order = np.lexsort((values, total[at], owner))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(many) - many, many)
+        head = order[place < left[owner]]
+        stray = block["stray"].to_numpy(zero_copy_only=False)[owner[head]]
+        every = np.unique(values[head])
+        nodes = block["node"].combine_chunks().take(pa.array(owner[head][stray])).to_pylist() + [None] * len(every)
+        same = pa.array(np.zeros(len(nodes), np.int32))
+        columns = {c: block[c].combine_chunks().take(same) for c in ("root", "block")} if block.num_rows else {"root": pa.array([], pa.binary()), "block": pa.array([], pa.int32())}
+        return pa.table({**columns, "node": pa.array(nodes, pa.binary()), "element": pa.array(np.concatenate([values[head][stray], every]), pa.int64())})
+
+    return run
+
+
 def _near(df: DataFrame, rows: int) -> DataFrame:
     """``df``, of so many rows at most, to be broadcast if they are few."""
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
@@ -272,39 +325,58 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
 def _verified(members: DataFrame, similarity: float) -> DataFrame:
     """(node, root) for the members (root, node, bag) of candidate groups that are in a class with others: its least node."""
     shipped(members.sparkSession)
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    # One row for each group beyond a block, so BLOCK times fewer than members.
-    beyond = pinned(sizes.filter(F.col("n") > BLOCK).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    bytes_of = F.size("bag").cast("long") * 8
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(bytes_of).alias("bytes"))
+    # One row for each group beyond a block, so many times fewer than members or bytes.
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    beyond = pinned(sizes.filter(blocks > 1).select("root", blocks.alias("blocks")))
     many = beyond.count()
-    near = lambda df: _near(df, many)
+    near = lambda df: _near(df, many)  # noqa: E731  # tables of a row for each such group
     sized = members.join(near(beyond), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sized = pinned(sized.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     work = lambda df, *by: df.select(*by, "node", "bag").groupBy(*by).applyInArrow(_search(similarity), _LINKS)
     small = sized.filter("blocks = 1")
-    done = work(small, "root").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    large = sized.filter("blocks > 1")
+    done = pinned(work(small, "root").select(F.col("a").alias("node"), F.col("b").alias("root")))
     if not many:
+        removed(sized)
         return done
+    large = pinned(sized.filter("blocks > 1"))
+    removed(sized)
     # Pivots: the least nodes of block 0 .. PIVOTS - 1, one from each, so that no group is gathered to find them.
     least = large.filter(f"block < {PIVOTS}").groupBy("root", "block").agg(F.min("node").alias("node"))
     pivots = large.join(least.select("root", "node"), ["root", "node"]).select("root", "node", "bag", "blocks")
     spread = pivots.select("root", "node", "bag", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     first = pinned(work(large.select("root", "block", "node", "bag").union(spread.select("root", "block", "node", "bag")), "root", "block"))
-    classes = components(first)
+    classes = pinned(components(first))
     held = large.select("root", "node", "block", "blocks").join(classes.withColumnRenamed("root", "class"), "node", "left").select("root", "node", "block", "blocks", F.coalesce("class", "node").alias("class"))
     counted = held.groupBy("root", "class").agg(F.count(F.lit(1)).alias("n"))
     top = counted.groupBy("root").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
     strays = pinned(held.join(near(top), "root").filter("class <> main").select("root", "node", "blocks"))
     del spread, pivots, counted, top, held
     released(members.sparkSession)
-    # Texts outside of the largest class meet every block, in blocks of their own.
-    number = strays.groupBy("root").agg(F.count(F.lit(1)).alias("strays"))
-    dealt = strays.join(near(number), "root").select("root", "node", "blocks", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.ceil(F.col("strays") / BLOCK)).cast("int").alias("part"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("parts"))
-    parts = dealt.select("root", "parts").distinct()
-    with_bags = dealt.join(large.select("root", "node", "bag"), ["root", "node"])
-    left = with_bags.select("root", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "bag")
-    right = large.join(near(parts), "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "node", "bag")
-    second = work(left.union(right), "root", "part", "block")
+    few = strays.count()
+    if not few:
+        removed(large)
+        return done.union(classes)
+    # Texts outside of the largest class meet the blocks that hold one of their rarest shingles, in parts of a bounded size.
+    asked = large.join(near(strays.select("root").distinct()), "root", "left_semi")
+    marked = asked.join(_near(strays.select("node", F.lit(True).alias("stray")), few), "node", "left")
+    marked = pinned(marked.select("root", "block", "node", F.coalesce("stray", F.lit(False)).alias("stray"), "bag"))
+    counts = pinned(marked.select("root", "block", "bag").groupBy("root", "block").applyInArrow(_counted, "root binary, block int, element long, n long"))
+    common = counts.groupBy("root", "element").agg(F.sum("n").alias("total")).filter("total > 1")
+    held = counts.join(common, ["root", "element"]).select("root", "block", "element", "total")
+    heads = pinned(marked.groupBy("root", "block").cogroup(held.groupBy("root", "block")).applyInArrow(_heads(similarity), "root binary, block int, node binary, element long"))
+    meet = heads.filter("node is not null").drop("block").join(heads.filter("node is null").select("root", "block", "element"), ["root", "element"]).select("root", "node", "block").distinct()
+    bags_of_strays = marked.filter("stray").select("node", "bag")
+    meet = pinned(meet.join(marked.filter("stray").select("node", bytes_of.alias("bytes")), "node"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    number = pinned(meet.groupBy("root", "block").agg(parts.alias("parts")))
+    number = _near(number, number.count())
+    sent = meet.join(number, ["root", "block"]).select("root", "block", F.pmod(F.xxhash64(F.lit(1), F.col("node")), F.col("parts")).cast("int").alias("part"), "node")
+    left = sent.join(bags_of_strays, "node").select("root", "block", "part", "node", "bag")
+    right = marked.join(number, ["root", "block"]).select("root", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "bag")
+    second = pinned(work(left.union(right), "root", "block", "part"))
+    removed(large, marked, counts, heads, meet)
     return done.union(components(first.union(second)))
 
 
@@ -341,7 +413,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     """(key, class_id): for each row of docs the least key of its class, the connected texts with a similarity of 0.8 or more.
 
     Texts of equal words are in one class. Texts without a word (null and empty ones too) are alone: class_id is their own key.
-    Null keys are passed over for class_id unless a class has no other. Repeated rows each give a row.
+    Null keys are passed over for class_id unless a class has no other. Repeated rows each give a row. An empty table gives an
+    empty table. A very long text is one bag, however large: memory for about 100 bytes for each of its words is needed in one task.
+    Other columns may have any names.
     """
     rows = signed_rows(docs, key, text)
     found = classes(docs, rows, text, similarity)
@@ -356,7 +430,8 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, without all but one of each class: the one with the least key (null first), then text hash.
 
-    Texts without a word are all kept. Of rows with the same key and text in a class one is kept.
+    Texts without a word are all kept. Of rows with the same key and text in a class one is kept. An empty table gives an empty
+    table; columns may have any names; very long texts are as in ``near_duplicate_classes``.
     """
     rows = signed_rows(docs, key, text)
     found = classes(docs, rows, text, similarity)

@@ -68,6 +68,53 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
 
 
+def test_group_of_many_classes(spark, monkeypatch):
+    """A candidate group without a main class, held together by a passage that all share: texts only meet blocks that may hold a partner."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rng = random.Random(11)
+    passage, rows = sentence(rng, 30, 10**6), []
+    for _ in range(24):
+        own = sentence(rng, 45, 10**6).split()
+        for _ in range(12):
+            copy = list(own)
+            copy[rng.randrange(45)] = f"n{rng.randrange(10**6)}"
+            rows.append(f"{passage} {' '.join(copy)}")
+    rng.shuffle(rows)
+    rows = [(i, t, "en", "s") for i, t in enumerate(rows)]
+    counts = {}
+    real = N.pinned
+
+    def seen(df):
+        kept = real(df)
+        if {"block", "bytes"} <= {*df.columns}:
+            counts["sent"] = kept.count()
+        if {"block", "blocks", "bag"} <= {*df.columns}:
+            counts["large"] = kept.filter("blocks > 1").count()
+        return kept
+
+    monkeypatch.setattr(N, "pinned", seen)
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, DOCS).repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows)
+    large = counts["large"]
+    assert large > 200  # else the passage doesn't hold the group together
+    # All strays times all blocks would be about large * large / 8.
+    assert counts["sent"] <= 14 * large < large * large / 8 / 2
+
+
+@pytest.mark.parametrize("bytes_", [64 << 20, 4000])
+def test_joined_by_shuffles_and_blocks_by_bytes(spark, monkeypatch, bytes_):
+    from lanewise.llm import _store
+
+    monkeypatch.setattr(N, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(_store, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "BLOCK_BYTES", bytes_)
+    rows = corpus(12, groups=3, size=50) + [(999, "a b c", "en", "s")] * 2
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(map(tuple, N.near_duplicate_classes(df).collect()), key=str) == brute(rows)
+    assert {r["doc_id"] for r in N.drop_near_duplicates(df).collect()} == {c for _, c in brute(rows)}
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame(odd_rows(), DOCS).withColumnRenamed("lang", "bands").withColumnRenamed("source", "words_key")
     assert sorted(map(tuple, N.near_duplicate_classes(df).collect()), key=str) == brute(odd_rows())
