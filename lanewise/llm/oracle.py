@@ -48,21 +48,24 @@ SELECT x.doc_id, CASE WHEN len(x.w) = 0 THEN x.doc_id ELSE min(y.doc_id) END AS
 FROM d x JOIN reached ON reached.a = x.r JOIN d y ON y.r = reached.b GROUP BY x.r, x.doc_id, x.w
 """
 
-# Runs are windows of two lines, or one line of enough words.
+# Runs are windows of two lines that aren't blank, or one line of enough words.
 LINE_RUNS = f"""
 WITH d AS (SELECT DISTINCT doc_id, text, md5(coalesce(doc_id::VARCHAR, '') || ':' || text) AS doc FROM documents WHERE text IS NOT NULL),
 lines AS (SELECT doc_id, doc, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d),
-full_lines AS (SELECT *, len(list_filter(string_split_regex(line, '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '')) AS words FROM lines WHERE NOT regexp_full_match(line, '[ \\t\\x0B\\f\\r]*')),
+full_lines AS (
+    SELECT *, len(list_filter(string_split_regex(line, '[ \\t\\x0B\\f\\r]+'), lambda w: w <> '')) AS words, row_number() OVER (PARTITION BY doc ORDER BY place) AS nth
+    FROM lines WHERE NOT regexp_full_match(line, '[ \\t\\x0B\\f\\r]*')
+),
 runs AS (
-    SELECT doc_id, doc, place, 1 AS n, [line] AS key FROM full_lines WHERE words >= {line_runs.MIN_WORDS}
+    SELECT doc_id, doc, nth, 1 AS n, [line] AS key FROM full_lines WHERE words >= {line_runs.MIN_WORDS}
     UNION ALL
-    SELECT a.doc_id, a.doc, a.place, 2 AS n, [a.line, b.line] AS key FROM full_lines a JOIN full_lines b ON a.doc = b.doc AND b.place = a.place + 1
+    SELECT a.doc_id, a.doc, a.nth, 2 AS n, [a.line, b.line] AS key FROM full_lines a JOIN full_lines b ON a.doc = b.doc AND b.nth = a.nth + 1
 ),
-later AS (SELECT doc, place, n FROM (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY doc_id NULLS FIRST, doc, place) AS nth FROM runs) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc, unnest(range(place, place + n)) AS place FROM later),
+later AS (SELECT doc, nth, n FROM (SELECT *, row_number() OVER (PARTITION BY n, key ORDER BY doc_id NULLS FIRST, doc, nth) AS copy FROM runs) WHERE copy > 1),
+gone AS (SELECT DISTINCT doc, unnest(range(nth, nth + n)) AS nth FROM later),
 kept AS (
-    SELECT doc, count(*) AS n_lines, count(g.place) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY l.place) FILTER (WHERE g.place IS NULL), '') AS body
-    FROM lines l LEFT JOIN gone g USING (doc, place) GROUP BY doc
+    SELECT l.doc, count(*) AS n_lines, count(g.nth) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE g.nth IS NULL), '') AS body
+    FROM lines l LEFT JOIN full_lines f ON f.doc = l.doc AND f.place = l.place LEFT JOIN gone g ON g.doc = f.doc AND g.nth = f.nth GROUP BY l.doc
 )
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, length(body)::BIGINT AS kept_chars, md5(body) AS kept_md5
 FROM documents LEFT JOIN kept ON kept.doc = md5(coalesce(doc_id::VARCHAR, '') || ':' || text)
