@@ -41,6 +41,8 @@ from ._text import grams, map_text, winnow, words
 #: Words of a repeated passage at least, words of the hashes that find it, and bytes of text that one array is built for.
 RUN, FEW = 8, 4
 PART_BYTES = 1 << 20
+#: Bytes of articles in a part in which candidates for a template are counted.
+TEMPLATE_BYTES = 1 << 18
 #: A template's passages are in the articles of so many pages, and of at least half of all.
 TEMPLATE_PAGES = 3
 BLOCKS = pa.list_(pa.struct([("body", pa.string()), ("zone", pa.bool_()), ("article", pa.bool_())]))
@@ -478,7 +480,7 @@ def extract_main_text(pages: DataFrame, keep: list[str], page: str = "html", url
         return [*(table.column(n).cast(arrow.field(n).type) for n in names), pa.array(texts, arrow.field("main_text").type)]
 
     with_article = parsed.filter("not undecided").select(*names, "host", "key", article.alias("article"))
-    template = _template(with_article.filter("article <> ''").select("host", "key", "article"), part_bytes)
+    template = _template(with_article.filter("article <> ''").select("host", "key", "article"), min(part_bytes, TEMPLATE_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
