@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.llm import decontaminate, language, mixing, near_duplicates, sharding
-from lanewise.llm._store import free_name, written
+from lanewise.llm._store import free_name, removed, written
 
 #: Integer weights of the mix, by language and domain; names that aren't listed weigh 1. Each document is taken once at most.
 MIX = {"domain": {"domain0": 2, "domain1": 2, "domain2": 2}, "language": {"en": 4, "de": 2, "fr": 2, "es": 2}}
@@ -18,7 +18,7 @@ MIX_SHARE = (9, 10)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose language the model rejects go (no letter, no text, or a score under its calibrated floor)."""
+    """Documents whose language the model rejects go (no letter, no text, a score under its calibrated floor, or unfamiliar subwords)."""
     model = language.fit(docs)
     mark = free_name(docs, "language_")
     marked = language.identify(docs, model, docs.columns, prefix=mark)
@@ -61,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    """All stages over the whole table of documents."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    """All stages over the whole table of documents. A stage's table is deleted once the next one is written; the last stage reads the last."""
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), None
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, folder)
-        if n < len(STAGES) - 1:
-            docs = written(docs, f"stage{n}")
+        out = stage(spark, docs, folder)
+        if n == len(STAGES) - 1:
+            return out
+        docs = written(out, f"stage{n}")
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
