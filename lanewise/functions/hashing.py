@@ -12,12 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kinds import U64, Kind
+from .names import free
 from .wide import add64, long, mul64, to_pattern
 
 # Fixed values of the hash.
@@ -40,18 +39,11 @@ def finalise(x: Column) -> Column:
 
 
 def float_bits(value: Column, kind: Kind) -> Column:
-    """The bit pattern of a float as BIGINT, 32 bits for f32; -0.0 counts as 0.0, NaN keeps its payload. Arrow batches: no expression has it."""
-    narrow = kind.bits == 32
-
-    @F.arrow_udf("long")
-    def bits(values: pa.Array) -> pa.Array:
-        known = values.is_valid().to_numpy(zero_copy_only=False)
-        numbers = np.asarray(values.fill_null(0).to_numpy(zero_copy_only=False), np.float32 if narrow else np.float64)
-        numbers = np.where(numbers == 0, numbers.dtype.type(0), numbers)
-        made = numbers.view(np.uint32).astype(np.int64) if narrow else numbers.view(np.int64)
-        return pa.array(made, pa.int64(), mask=~known)
-
-    return bits(value)
+    """The bit pattern of a float as BIGINT, 32 bits for f32; -0.0 counts as 0.0, NaN keeps its payload."""
+    owner, method, bits = ("java.lang.Float", "floatToRawIntBits", 0xFFFFFFFF) if kind.bits == 32 else ("java.lang.Double", "doubleToRawLongBits", -1)
+    known = F.when(value == 0, kind.lit(0)).when(value.isNotNull(), value).otherwise(kind.lit(0))
+    pattern = F.reflect(F.lit(owner), F.lit(method), known).cast("bigint").bitwiseAND(F.lit(bits).cast("bigint"))
+    return F.when(value.isNotNull(), pattern)
 
 
 def key_bits(value: Column, kind: Kind) -> Column:
@@ -91,7 +83,9 @@ def with_hash(rows: DataFrame, name: str, value: Column, kind: Kind, seed: int =
 
 def with_combined(rows: DataFrame, name: str, first: str, second: str) -> DataFrame:
     """``rows`` with the column ``name``: the hash of the hashes in two columns, in this order."""
-    a, b, part, other = F.col(f"`{first}`"), F.col(f"`{second}`"), f"__{name}_1", f"__{name}_2"
+    a, b = F.col(f"`{first}`"), F.col(f"`{second}`")
+    part = free(rows.columns, "part")
+    other = free([*rows.columns, part], "other")
     rows = rows.withColumn(part, add64(b, long(GOLDEN))).withColumn(other, F.shiftleft(a, 6))
     rows = rows.withColumn(other, add64(F.col(other), F.shiftrightunsigned(a, 2)))
     rows = rows.withColumn(part, add64(F.col(part), F.col(other))).withColumn(part, a.bitwiseXOR(F.col(part)))

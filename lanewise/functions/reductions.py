@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kinds import U64, Kind, exact
-from .wide import wrapped_to
+from .wide import to_pattern, wrapped_to
 
 _LIMB = 22
 
@@ -50,16 +50,16 @@ def maximum(value: Column, kind: Kind, only: Column | None = None, pos: Column |
 def exact_sum(value: Column, kind: Kind, only: Column | None = None) -> Column:
     """The exact sum of integers as DECIMAL(38,0), 0 for none.
 
-    Wide integers are summed by limbs of 22 bits in BIGINT, which is exact for 2 ** 41 rows and stays in generated code.
+    Wide integers are summed by limbs of 22 bits in BIGINT, which is exact for 2 ** 41 rows and stays in generated code; those of u64
+    are the limbs of its 64 bits.
     """
     value = _taking_part(value, only)
-    if kind is U64:
-        return F.coalesce(F.sum(value), exact(0)).cast("decimal(38,0)")
-    wide = value.cast("bigint")
+    wide = to_pattern(value) if kind is U64 else value.cast("bigint")
+    shift = F.shiftrightunsigned if kind is U64 else F.shiftright
     limbs = -(-kind.bits // _LIMB) if kind.bits > 16 else 1
     total = exact(0)
     for i in range(limbs):
-        part = F.shiftright(wide, _LIMB * i) if i else wide
+        part = shift(wide, _LIMB * i) if i else wide
         if i < limbs - 1:
             part = part.bitwiseAND(F.lit((1 << _LIMB) - 1).cast("bigint"))
         total = total + (F.coalesce(F.sum(part), F.lit(0)).cast("decimal(20,0)") * exact(1 << _LIMB * i).cast("decimal(15,0)")).cast("decimal(38,0)")
@@ -67,7 +67,7 @@ def exact_sum(value: Column, kind: Kind, only: Column | None = None) -> Column:
 
 
 def sum_wrapping(value: Column, kind: Kind, only: Column | None = None) -> Column:
-    """Integers: the sum modulo 2 ** 64 in the type's sum type. Floats: a sum in no fixed order, see ``sum_in_order``."""
+    """Integers: the sum modulo 2 ** 64 in the type's sum type. Floats: a sum in no fixed order, see ``sum_blocked`` and ``sum_in_order``."""
     if kind.floating:
         return F.coalesce(F.sum(_taking_part(value, only)), F.lit(0.0)).cast(kind.total)
     return wrapped_to(exact_sum(value, kind, only), 64, kind.signed).cast(kind.total)
@@ -97,7 +97,7 @@ def sum_in_order(rows: DataFrame, value: Column, pos: Column, kind: Kind, only:
     """One row with ``value``: the strict left fold of floats in order of ``pos``, each step rounded to the type.
 
     A fold in a fixed order has no parallel form. Rows are sorted with spilling and folded as they stream by: memory stays
-    bounded, but one task reads all values that take part. ``sum_wrapping`` is the parallel form without a fixed order.
+    bounded, but one task reads all values that take part. ``sum_blocked`` is the parallel form in a fixed order.
     """
     if not kind.floating:
         raise ValueError("sums of integers don't depend on order")
@@ -114,3 +114,59 @@ def sum_in_order(rows: DataFrame, value: Column, pos: Column, kind: Kind, only:
 
     folded = kept.repartition(1).sortWithinPartitions("pos").mapInArrow(fold, f"value {kind.spark}")
     return folded.agg(F.coalesce(F.first("value"), kind.lit(0)).alias("value"))
+
+
+# Fixed values of the blocked order: accumulators, and lanes in each by bits of the type.
+ACCUMULATORS = 4
+LANES = {32: 8, 64: 4}
+#: Positions of a batch.
+BATCH = 1 << 16
+
+
+def _folded(values: str, kind: Kind) -> str:
+    """SQL: the left fold of an array from 0, each step rounded to the type."""
+    zero = f"cast(0 as {kind.spark})"
+    return f"aggregate({values}, {zero}, (s, x) -> cast(s + x as {kind.spark}))"
+
+
+def _batch_sum(values: str, kind: Kind) -> str:
+    """SQL: the blocked sum of a batch's values in order of position, -0.0 for those that take no part (it changes no sum)."""
+    lanes = LANES[kind.bits]
+    block = ACCUMULATORS * lanes
+    whole = f"(size(v) div {block})"
+    column = lambda lane: f"if({whole} = 0, cast(array() as array<{kind.spark}>), transform(sequence(0, greatest({whole} - 1, 0)), i -> v[cast(i * {block} + {lane} as int)]))"
+    sums = f"transform(sequence(0, {block - 1}), j -> {_folded(column('j'), kind)})"
+    rounded = lambda a, b: f"cast({a} + {b} as {kind.spark})"
+    pair = rounded(rounded("a[j]", f"a[j + {2 * lanes}]"), rounded(f"a[j + {lanes}]", f"a[j + {3 * lanes}]"))
+    combined = f"transform(array({sums}), a -> transform(sequence(0, {lanes - 1}), j -> {pair}))[0]"
+    tail = f"slice(v, {whole} * {block} + 1, size(v) - {whole} * {block})"
+    return f"transform(array({values}), v -> aggregate({tail}, {_folded(combined, kind)}, (s, x) -> cast(s + x as {kind.spark})))[0]"
+
+
+def batch_sums(rows: DataFrame, value: Column, pos: Column, kind: Kind, batch: int = BATCH) -> DataFrame:
+    """(batch, value): the blocked sum of floats of each run of ``batch`` positions, nulls left out.
+
+    A fixed order that has a parallel form. Positions are dense from 0, rows with nulls among them. Of a batch, whole blocks of
+    ACCUMULATORS times LANES values are added lane by lane in order; accumulators are combined as (0 + 2) + (1 + 3); lanes are
+    folded from the first on; the values after the last whole block follow one by one. Each step is rounded to the type. A task holds
+    one batch at a time.
+    """
+    if not kind.floating:
+        raise ValueError("sums of integers don't depend on order")
+    neutral = F.coalesce(value.cast(kind.spark), F.lit("-0.0").cast(kind.spark))
+    kept = rows.select((pos.cast("bigint") - F.pmod(pos.cast("bigint"), F.lit(batch).cast("bigint"))).alias("from"), pos.alias("pos"), neutral.alias("value"))
+    ordered = kept.groupBy("from").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("all"))
+    number = F.expr(f"`from` div {batch}").alias("batch")
+    return ordered.select(number, F.expr("transform(all, x -> x.value)").alias("v")).select("batch", F.expr(_batch_sum("v", kind)).alias("value"))
+
+
+def sum_blocked(rows: DataFrame, value: Column, pos: Column, kind: Kind, batch: int = BATCH) -> DataFrame:
+    """One row with ``value``: the batches' sums of ``batch_sums``, folded in order. Each is added in parallel; one number a batch meets in one task."""
+    return sum_in_order(batch_sums(rows, value, pos, kind, batch), F.col("value"), F.col("batch"), kind)
+
+
+def sum_floats(rows: DataFrame, value: Column, pos: Column, kind: Kind, only: Column | None = None, strict: bool = False) -> DataFrame:
+    """One row with ``value``: a sum in a fixed order, strict if asked for or under a selection, else blocked."""
+    if strict or only is not None:
+        return sum_in_order(rows, value, pos, kind, only)
+    return sum_blocked(rows, value, pos, kind)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kinds import MASK_OPS
+from ..functions.names import free
 
 BUCKET_BITS = 32768
 #: Positions that are numbered together when ordinals are given out.
@@ -23,13 +24,14 @@ def numbered(rows: DataFrame, pos: str, ordinal: str = "ord") -> DataFrame:
     Positions are cut into runs of RUN; each run is numbered on its own and begins where the counts of those before it end, so
     the whole table is never sorted in one task. Only one count for each run meets in one place.
     """
+    in_run, at, start = (free([*rows.columns, ordinal], stem) for stem in ("run", "at", "start"))
     run = F.expr(f"`{pos}` div {RUN}")
-    counted = rows.groupBy(run.alias("__run")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = counted.select("__run", (F.sum("__n").over(before) - F.col("__n")).alias("__start"))
-    inner = Window.partitionBy("__run").orderBy(pos)
-    within = rows.withColumn("__run", run).withColumn("__at", F.row_number().over(inner) - 1)
-    return within.join(starts, "__run").withColumn(ordinal, (F.col("__start") + F.col("__at")).cast("bigint")).drop("__run", "__at", "__start")
+    counted = rows.groupBy(run.alias(in_run)).agg(F.count(F.lit(1)).alias(at))
+    before = Window.orderBy(in_run).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = counted.select(in_run, (F.sum(at).over(before) - F.col(at)).alias(start))
+    inner = Window.partitionBy(in_run).orderBy(pos)
+    within = rows.withColumn(in_run, run).withColumn(at, F.row_number().over(inner) - 1)
+    return within.join(starts, in_run).withColumn(ordinal, (F.col(start) + F.col(at)).cast("bigint")).drop(in_run, at, start)
 
 
 def keep_selected(rows: DataFrame, selection: Column, pos: str | None = None, ordinal: str | None = None) -> DataFrame:
@@ -112,17 +114,40 @@ def unpack(packed: DataFrame, n: int) -> DataFrame:
     return bits.select(pos.cast("bigint").alias("pos"), (F.expr("shiftright(__value, __bit) & 1") == 1).alias("sel")).where(F.col("pos") < n)
 
 
-def combine_packed(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
-    """And / or of two packed bitmaps of the same number of rows, bucket by bucket."""
-    merge = {"and": F.bitmap_and_agg, "or": F.bitmap_or_agg}
-    if op not in merge:
-        raise ValueError("packed bitmaps have and / or; use boolean columns for others")
+def _merged(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    merge = {"and": F.bitmap_and_agg, "or": F.bitmap_or_agg}[op]
     sizes = a.select("bucket", F.length("bits").alias("__size"))
     wide = lambda x: x.select("bucket", F.rpad(F.hex("bits"), BUCKET_BITS // 4, "0").alias("__hex"))
-    both = wide(a).unionAll(wide(b)).groupBy("bucket").agg(merge[op](F.unhex("__hex")).alias("__bits"))
+    both = wide(a).unionAll(wide(b)).groupBy("bucket").agg(merge(F.unhex("__hex")).alias("__bits"))
     return both.join(sizes, "bucket").select("bucket", F.substring(F.col("__bits"), F.lit(1), F.col("__size")).alias("bits"))
 
 
+def _flipped(packed: DataFrame) -> DataFrame:
+    """All bits inverted, those of the tail too: a hexadecimal digit's complement is the digit as far from F as it is from 0."""
+    digits = "0123456789ABCDEF"
+    return packed.select("bucket", F.unhex(F.translate(F.hex("bits"), digits, digits[::-1])).alias("bits"))
+
+
+def combine_packed(op: str, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Mask algebra of two packed bitmaps of the same number of rows, bucket by bucket; tails of zeros stay so. op is one of MASK_OPS."""
+    if op not in MASK_OPS:
+        raise ValueError(f"unknown mask operation {op!r}")
+    if op == "andnot":
+        return _merged("and", a, _flipped(b))
+    if op == "xor":
+        return _merged("and", _merged("or", a, b), _flipped(_merged("and", a, b)))
+    return _merged(op, a, b)
+
+
+def invert_packed(packed: DataFrame, n: int) -> DataFrame:
+    """The inverse of a packed bitmap of n rows; bits beyond n stay zero."""
+    size, last = F.length("bits"), F.col("bucket") == (n - 1) // BUCKET_BITS
+    spare = n % 8
+    end = F.conv(F.hex(F.substring(F.col("bits"), size, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit((1 << (spare or 8)) - 1))
+    cut = F.concat(F.substring(F.col("bits"), F.lit(1), size - 1), F.unhex(F.lpad(F.hex(end.cast("bigint")), 2, "0")))
+    return _flipped(packed).select("bucket", F.when(last & (size > 0), cut).otherwise(F.col("bits")).alias("bits"))
+
+
 def packed_count(packed: DataFrame) -> DataFrame:
     """One row with ``count``: the bits set in a packed bitmap whose tail is zero."""
     return packed.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("bigint").alias("count"))

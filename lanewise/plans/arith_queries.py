@@ -75,6 +75,8 @@ def register(catalog: Catalog) -> None:
             lambda spark, d, k=kind: operands(spark, d, k).select("pos", wrapping("add", a(), 100, k).cast("bigint").alias("sum"), checked("mul", a(), 3, k)["overflowed"].alias("over"), saturating("sub", a(), 100, k).cast("bigint").alias("clamped")),
             f"SELECT pos, {_wrapped('add', kind, '100::HUGEINT')} AS sum, {_over('mul', kind, '3::HUGEINT')} AS over, {_clamped('sub', kind, '100::HUGEINT')} AS clamped FROM {_source(kind)}",
         )
+    for kind in INTEGERS:
+        _scalars(catalog, kind)
     catalog.add("checked_count", lambda spark, d: operands(spark, d, I64).agg(*[F.count_if(overflows(op, a(), b(), I64)).alias(op) for op in ARITH_OPS]), "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_over(op, I64)}) AS {op}" for op in ARITH_OPS) + f" FROM {_source(I64)}")
     nullable = lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.expr("nullif(o_custkey % 11, 0)").alias("a"), F.expr("nullif(o_orderkey % 7, 0)").alias("b"))
     catalog.add("arith_validity", lambda spark, d: nullable(spark, d).select("pos", wrapping("mul", a(), b(), I64).alias("value"), (a().isNotNull() & b().isNotNull()).alias("valid")), "SELECT pos, a * b AS value, a IS NOT NULL AND b IS NOT NULL AS valid FROM (SELECT o_orderkey AS pos, nullif(o_custkey % 11, 0) AS a, nullif(o_orderkey % 7, 0) AS b FROM orders)")
@@ -84,3 +86,28 @@ def register(catalog: Catalog) -> None:
             lambda spark, d, k=kind: table(spark, d, "events").select(F.col("event_id").alias("pos"), *[wrapping(op, F.col("value").cast(k.spark), 0.1, k).cast("double").alias(op) for op in ARITH_OPS]),
             f"SELECT event_id AS pos, " + ", ".join(f"(value::{cast} {s} 0.1::{cast})::{cast}::DOUBLE AS {op}" for op, s in SIGNS.items()) + " FROM events",
         )
+
+
+def _scalars(catalog: Catalog, kind: Kind) -> None:
+    """All operations of a column with a constant, in all three forms."""
+    constant = 100 if kind.bits == 8 else kind.greatest - 5
+    right = f"({constant})::HUGEINT"
+
+    def query(spark, d):
+        a = F.col("a")
+        columns = []
+        for op in ARITH_OPS:
+            guarded = checked(op, a, constant, kind)
+            columns += [
+                _shown(wrapping(op, a, constant, kind), kind).alias(f"{op}_wrapped"),
+                guarded["overflowed"].alias(f"{op}_over"),
+                _shown(guarded["value"], kind).alias(f"{op}_checked"),
+                _shown(saturating(op, a, constant, kind), kind).alias(f"{op}_clamped"),
+            ]
+        return operands(spark, d, kind).select("pos", *columns)
+
+    shown = []
+    for op in ARITH_OPS:
+        wrapped = _wrapped(op, kind, right)
+        shown += [f"{wrapped} AS {op}_wrapped", f"{_over(op, kind, right)} AS {op}_over", f"{wrapped} AS {op}_checked", f"{_clamped(op, kind, right)} AS {op}_clamped"]
+    catalog.add(f"arith_scalars_{kind.name}", query, f"SELECT pos, {', '.join(shown)} FROM {_source(kind)}")

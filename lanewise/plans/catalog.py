@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.kinds import F64, I32, I64
 from ..functions.predicates import compare
 from ..functions.reductions import maximum, minimum, sum_wrapping
-from ..operators.gather import take
-from ..operators.selection import positions
+from ..operators.selection import keep_selected
 from ..sources.tables import table
 from . import arith_queries, compare_queries, gather_queries, reduce_queries, selection_queries
 from ._base import Catalog
@@ -23,9 +22,9 @@ def _sum_gt(spark, d, least: float = 24):
 
 
 def _filtered(spark, d):
-    chosen = positions(table(spark, d, "orders"), compare("ge", F.col("o_totalprice"), 1000.0, F64), "o_orderkey")
-    taken = take(chosen, table(spark, d, "orders"), "idx", "o_orderkey", "o_custkey")
-    return taken.agg(F.count("ord").alias("n"), sum_wrapping(F.col("o_custkey"), I64).alias("total"))
+    """Compare, compact and reduce in one pass; ordinals are for results that return them."""
+    chosen = keep_selected(table(spark, d, "orders"), compare("ge", F.col("o_totalprice"), 1000.0, F64))
+    return chosen.agg(F.count(F.lit(1)).alias("n"), sum_wrapping(F.col("o_custkey"), I64).alias("total"))
 
 
 def _nullable(spark, d):

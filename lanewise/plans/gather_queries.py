@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import U8, U16, U32, U64
 from ..functions.wide import to_pattern
-from ..operators.bitpack import pack, unpack
+from ..operators.bitpack import pack, unpack, unpack_by
 from ..operators.gather import dict_decode, take, take_from_array
 from ..sources.tables import table
 from ._base import Catalog
@@ -16,11 +16,11 @@ GROUP = 40
 
 
 def register(catalog: Catalog) -> None:
-    indices = lambda spark: spark.range(250).select(F.col("id").alias("ord"), (9 - F.col("id") % 10).alias("idx"))
+    indices = lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), (99 - F.col("o_orderkey") % 10).alias("idx"))
     catalog.add(
         "take_reverse_dup",
-        lambda spark, d: take(indices(spark), table(spark, d, "supplier"), "idx", "s_suppkey", "s_acctbal"),
-        "SELECT range AS ord, 9 - range % 10 AS idx, s_acctbal FROM range(250) JOIN supplier ON s_suppkey = 9 - range % 10",
+        lambda spark, d: take(indices(spark, d), table(spark, d, "part"), "idx", "p_partkey", "p_retailprice"),
+        "SELECT o_orderkey AS ord, 99 - o_orderkey % 10 AS idx, p_retailprice FROM orders JOIN part ON p_partkey = 99 - o_orderkey % 10",
     )
     catalog.add(
         "take_column_by_column",
@@ -29,8 +29,8 @@ def register(catalog: Catalog) -> None:
     )
     catalog.add(
         "take_from_array",
-        lambda spark, d: spark.range(7).select("id", take_from_array(F.array(*[F.lit(x) for x in (10, 11, 12, 13, 14)]).cast("array<bigint>"), (F.col("id") * 3 % 5).cast("int")).alias("value")),
-        "SELECT range AS id, 10 + range * 3 % 5 AS value FROM range(7)",
+        lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", take_from_array(F.array("l_orderkey", "l_partkey", "l_suppkey"), (F.col("l_linenumber") % 3)).alias("value")),
+        "SELECT l_orderkey, l_linenumber, [l_orderkey, l_partkey, l_suppkey][l_linenumber % 3 + 1] AS value FROM lineitem",
     )
     nations = lambda spark, d: table(spark, d, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("value"))
     customers = lambda spark, d: table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (F.col("c_acctbal") > 3000).alias("sel"))
@@ -53,7 +53,7 @@ def register(catalog: Catalog) -> None:
         v = F.col("v")
         return made.select("g", F.col("i").cast("bigint").alias("i"), (to_pattern(v) if kind is U64 else v.cast("bigint")).alias("v"))
 
-    for width, kind in ((1, U8), (3, U8), (6, U8), (8, U8), (11, U16), (13, U16), (16, U16), (24, U32), (31, U32), (32, U32), (40, U64), (57, U64), (63, U64)):
+    for width, kind in ((1, U8), (3, U8), (6, U8), (8, U8), (11, U16), (13, U16), (16, U16), (24, U32), (31, U32), (32, U32), (40, U64), (57, U64), (61, U64), (62, U64), (63, U64), (64, U64)):
         value = f"(p_partkey * 2654435761 + p_size) % {min(1 << width, 1 << 40)}"
         catalog.add(
             f"unpack_w{width}",
@@ -76,3 +76,21 @@ def register(catalog: Catalog) -> None:
         lambda spark, d: unpacked(spark, d, 6, U64, (1 << 64) - 10, "p_size"),
         f"SELECT range // {GROUP} AS g, range % {GROUP} AS i, coalesce(p_size, 0)::BIGINT - 10 AS v FROM range(((SELECT max(p_partkey) FROM part) // {GROUP} + 1) * {GROUP}) LEFT JOIN part ON p_partkey = range",
     )
+    # Count, width and base of each row in columns: counts from 0 to 40, widths from 24 to 64.
+    by_row = {"n": "(g * 7) % 41", "w": "24 + g % 41", "base": "g * 1000003"}
+
+    def by_columns(spark, d):
+        made = groups(spark, d, "p_partkey * 2654435761 % 16777216")
+        wide = made.select("g", "vs", *[F.expr(e).alias(c) for c, e in by_row.items()])
+        bits = "case " + " ".join(f"when w = {w} then p{w}" for w in (24, 37, 64)) + " end"
+        some = wide.where("w in (24, 37, 64)").select("*", *[pack("vs", w).alias(f"p{w}") for w in (24, 37, 64)])
+        made = some.select("g", "n", "w", F.col("base").cast("decimal(20,0)").alias("base"), F.expr(bits).alias("bits"))
+        return made.select("g", F.posexplode(unpack_by("bits", "n", "w", U64, "base")).alias("i", "v")).select("g", F.col("i").cast("bigint").alias("i"), to_pattern(F.col("v")).alias("v"))
+
+    catalog.add(
+        "unpack_by_columns",
+        by_columns,
+        f"""SELECT g, i, (coalesce(p_partkey * 2654435761 % 16777216, 0) + g * 1000003)::BIGINT AS v
+            FROM (SELECT range // {GROUP} AS g, range % {GROUP} AS i, range AS k FROM range(((SELECT max(p_partkey) FROM part) // {GROUP} + 1) * {GROUP})) LEFT JOIN part ON p_partkey = k
+            WHERE 24 + g % 41 IN (24, 37, 64) AND i < (g * 7) % 41""",
+    )

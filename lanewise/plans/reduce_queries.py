@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reductions as R
 from ..functions.hashing import with_combined, with_hash
-from ..functions.kinds import F32, F64, I8, I16, I32, I64, U8, U32, U64
+from ..functions.kinds import F32, F64, I8, I16, I32, I64, KINDS, U8, U32, U64, Kind
 from ..functions.wide import hex_of
 from ..sources.tables import table
 from ._base import NULLABLE_SIZE, ODD_EVENTS, PARTS, Catalog, odd_events, parts
@@ -60,9 +60,80 @@ def register(catalog: Catalog) -> None:
             f"SELECT coalesce(min(x), {I32.greatest})::BIGINT AS lowest, coalesce(max(x), {I32.least})::BIGINT AS highest, count(*) FILTER (WHERE x IS NULL) AS null_count FROM {PARTS} WHERE {where}",
         )
         catalog.add(f"count_valid{name}", lambda spark, d, only=only: parts(spark, d).agg(R.count_valid(x(), only and only()).alias("n")), f"SELECT count(x) AS n FROM {PARTS} WHERE {where}")
+    for kind in KINDS.values():
+        _extremes(catalog, kind)
+    for kind in (F32, F64):
+        for batch in (1000, R.BATCH):
+            _blocked(catalog, kind, batch)
     _hashes(catalog)
 
 
+def _spread(kind: Kind) -> str:
+    """Values of orders over much of a type's range, every ninth null; the same text in both engines."""
+    if kind.floating:
+        return "case when o_orderkey % 9 = 4 then null else o_totalprice - 100000 end"
+    span = min(1 << kind.bits, 1 << 53)
+    least = f" - {span // 2}" if kind.signed else ""
+    return f"case when o_orderkey % 9 = 4 then null else (o_orderkey * 7919 + o_custkey * 104729) % {span}{least} end"
+
+
+def _extremes(catalog: Catalog, kind: Kind) -> None:
+    """Minimum, maximum and the summary of them with the nulls, over all rows and over selected ones."""
+    shown = (lambda c: c.cast("double")) if kind.floating else (lambda c: c.cast("string"))
+    cast = f"{'FLOAT' if kind.bits == 32 else 'DOUBLE'})::DOUBLE" if kind.floating else "HUGEINT)::VARCHAR"
+
+    def query(spark, d):
+        x, only, pos = F.col("x"), F.col("sel"), F.col("pos") if kind.floating else None
+        rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.expr(_spread(kind)).cast(kind.spark).alias("x"), (F.col("o_custkey") % 3 == 0).alias("sel"))
+        both = rows.agg(
+            shown(R.minimum(x, kind, None, pos)).alias("lowest"),
+            shown(R.maximum(x, kind, None, pos)).alias("highest"),
+            shown(R.minimum(x, kind, only, pos)).alias("lowest_selected"),
+            shown(R.maximum(x, kind, only, pos)).alias("highest_selected"),
+            R.min_max(x, kind, only, pos).alias("s"),
+        )
+        return both.select("lowest", "highest", "lowest_selected", "highest_selected", shown(F.col("s.min")).alias("summary_min"), shown(F.col("s.max")).alias("summary_max"), F.col("s.null_count").alias("null_count"))
+
+    value = lambda f, where="": f"(({f}(x){where})::{cast}"
+    chosen = " FILTER (WHERE sel)"
+    catalog.add(
+        f"reduce_extremes_{kind.name}",
+        query,
+        f"""SELECT {value('min')} AS lowest, {value('max')} AS highest, {value('min', chosen)} AS lowest_selected, {value('max', chosen)} AS highest_selected,
+            {value('min', chosen)} AS summary_min, {value('max', chosen)} AS summary_max, count(*) FILTER (WHERE sel AND x IS NULL) AS null_count
+            FROM (SELECT ({_spread(kind)})::{'FLOAT' if kind.spark == 'float' else 'DOUBLE' if kind.floating else 'HUGEINT'} AS x, o_custkey % 3 = 0 AS sel FROM orders)""",
+    )
+
+
+def _blocked(catalog: Catalog, kind: Kind, batch: int) -> None:
+    """Sums in the blocked order, to the last bit; every eleventh value takes no part."""
+    name = "FLOAT" if kind is F32 else "DOUBLE"
+    lanes = R.LANES[kind.bits]
+    block = R.ACCUMULATORS * lanes
+
+    def query(spark, d):
+        value = F.when(F.col("pos") % 11 != 0, F.col("v")).cast(kind.spark)
+        return R.sum_floats(odd_events(spark, d), value, F.col("pos"), kind) if batch == R.BATCH else R.sum_blocked(odd_events(spark, d), value, F.col("pos"), kind, batch)
+
+    fold = f"lambda s, x: (s + x)::{name}"
+    zero = f"0::{name}"
+    added = f"(({{0}})::{name} + ({{1}})::{name})::{name}"
+    pair = added.format(added.format("a[j]", f"a[j + {2 * lanes}]"), added.format(f"a[j + {lanes}]", f"a[j + {3 * lanes}]"))
+    catalog.add(
+        f"sum_{kind.name}_blocked_{batch}",
+        lambda spark, d: query(spark, d).select(F.col("value").cast("double").alias("total")),
+        f"""WITH e AS (SELECT pos // {batch} AS batch, pos % {batch} AS place, (CASE WHEN pos % 11 <> 0 AND v IS NOT NULL THEN v ELSE '-0.0'::DOUBLE END)::{name} AS v FROM {ODD_EVENTS}),
+        sized AS (SELECT batch, count(*) AS n FROM e GROUP BY batch),
+        lanes AS (SELECT batch, place % {block} AS lane, list_reduce(list_prepend({zero}, list(v ORDER BY place)), {fold}) AS s
+            FROM e JOIN sized USING (batch) WHERE place < n // {block} * {block} GROUP BY ALL),
+        whole AS (SELECT batch, list(s ORDER BY lane) AS a FROM lanes GROUP BY batch),
+        combined AS (SELECT batch, list_reduce(list_prepend({zero}, list_transform(range(1, {lanes + 1}), lambda j: {pair})), {fold}) AS s FROM whole),
+        tails AS (SELECT batch, list(v ORDER BY place) AS t FROM e JOIN sized USING (batch) WHERE place >= n // {block} * {block} GROUP BY batch),
+        batches AS (SELECT batch, list_reduce(list_prepend(coalesce(s, {zero}), coalesce(t, [])), {fold}) AS total FROM sized LEFT JOIN combined USING (batch) LEFT JOIN tails USING (batch))
+        SELECT list_reduce(list_prepend({zero}, list(total ORDER BY batch)), {fold})::DOUBLE AS total FROM batches""",
+    )
+
+
 def _mixed(bits: str) -> str:
     """SQL of the finaliser over an unsigned 64-bit expression, and its result as a signed BIGINT; built as nested selects."""
     multiply = "((xor(h, h >> 33)::UHUGEINT * {0}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"

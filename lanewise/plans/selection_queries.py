@@ -58,14 +58,20 @@ def register(catalog: Catalog) -> None:
     catalog.add("bitmap_packed_count", lambda spark, d: S.packed_count(packed(spark, d)), "SELECT count(*) AS count FROM part WHERE p_size > 25")
     for op, text in (("and", "a AND b"), ("or", "a OR b"), ("andnot", "a AND NOT b"), ("xor", "a <> b")):
         catalog.add(f"mask_{op}", lambda spark, d, op=op: _masks(spark, d).select("pos", S.combine(op, F.col("a"), F.col("b")).alias("sel")), f"SELECT pos, {text} AS sel FROM {_MASKS}")
-    for op in ("and", "or"):
+    for op, text in (("and", "a AND b"), ("or", "a OR b"), ("andnot", "a AND NOT b"), ("xor", "a <> b")):
 
         def both(spark, d, op=op):
             rows = _masks(spark, d)
             n = rows.count()
             return S.combine_packed(op, S.pack(rows, F.col("a"), "pos", n), S.pack(rows, F.col("b"), "pos", n)).select("bucket", F.hex("bits").alias("bits"))
 
-        catalog.add(f"mask_{op}_packed", both, _packed_sql(_MASKS, f"a {op} b"))
+        catalog.add(f"mask_{op}_packed", both, _packed_sql(_MASKS, text))
+    def inverse(spark, d):
+        rows = _masks(spark, d)
+        n = rows.count()
+        return S.invert_packed(S.pack(rows, F.col("a"), "pos", n), n).select("bucket", F.hex("bits").alias("bits"))
+
+    catalog.add("mask_not_packed", inverse, _packed_sql(_MASKS, "NOT a"))
     catalog.add("mask_not", lambda spark, d: _masks(spark, d).select("pos", S.invert(F.col("a")).alias("sel")), f"SELECT pos, NOT a AS sel FROM {_MASKS}")
     catalog.add("mask_popcount", lambda spark, d: _masks(spark, d).agg(S.popcount(F.col("a")).alias("count")), f"SELECT count(*) FILTER (WHERE a) AS count FROM {_MASKS}")
     for name, f, text in (("all", S.all_selected, "coalesce(bool_and(a), true)"), ("any", S.any_selected, "coalesce(bool_or(a), false)"), ("none", S.none_selected, "NOT coalesce(bool_or(a), false)")):

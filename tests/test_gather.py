@@ -73,3 +73,37 @@ def test_pack_round_trip(spark, width):
     rows = df.select(pack("vs", width).alias("b")).collect()
     assert bytes(rows[0]["b"]) == packed_by_model(values, width)
     assert bytes(rows[1]["b"]) == b""
+
+
+def test_unpack_with_count_width_and_base_in_columns(spark):
+    from lanewise.operators.bitpack import unpack_by
+
+    random.seed(9)
+    rows, expected = [], {}
+    for i, width in enumerate([0, 1, 3, 7, 24, 33, 61, 62, 63, 64, 5]):
+        n = 0 if i == 10 else random.randrange(1, 30)
+        values = [random.getrandbits(width) if width else 0 for _ in range(n)]
+        base = random.getrandbits(64)
+        rows.append((i, n, width, str(base), bytearray(packed_by_model(values, width))))
+        expected[i] = [(v + base) % (1 << 64) for v in values]
+    df = spark.createDataFrame(rows, "id long, n int, w int, base string, bits binary").repartition(3).withColumn("base", F.col("base").cast("decimal(20,0)"))
+    got = {r["id"]: [int(x) for x in r["v"]] for r in df.select("id", unpack_by("bits", "n", "w", U64, "base").alias("v")).collect()}
+    assert got == expected
+    narrow = spark.createDataFrame([(4, 3, 250, bytearray(b"\xd1\x0b")), (None, 3, 0, bytearray(b"")), (2, 3, 0, None)], "n int, w int, base int, bits binary")
+    assert [r["v"] for r in narrow.select(unpack_by("bits", "n", "w", U8, "base").alias("v")).collect()] == [[251, 252, 1, 255], None, None]
+    with pytest.raises(Exception, match="too short"):
+        spark.createDataFrame([(9, 3, bytearray(b"\x01"))], "n int, w int, bits binary").select(unpack_by("bits", "n", "w", U8)).collect()
+    with pytest.raises(Exception, match="width isn't within"):
+        spark.createDataFrame([(1, 9, bytearray(b"\x01\x02"))], "n int, w int, bits binary").select(unpack_by("bits", "n", "w", U8)).collect()
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_dictionary_joined_either_way_and_clashing_names(spark, monkeypatch, most):
+    from lanewise.operators import gather
+
+    monkeypatch.setattr(gather, "MOST_BROADCAST", most)
+    dictionary = spark.range(50).selectExpr("id as code", "repeat('x', cast(id as int)) as value")
+    facts = spark.range(200).selectExpr("id", "id % 50 as c", "1 as __hit", "2 as __key", "3 as __value")
+    out = dict_decode(facts, dictionary, "c")
+    assert out.columns == ["id", "c", "__hit", "__key", "__value", "value"]
+    assert all(len(r["value"]) == r["c"] and (r["__hit"], r["__key"], r["__value"]) == (1, 2, 3) for r in out.collect())

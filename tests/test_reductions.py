@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from model import combine as combined
 from model import hash64 as hashed
@@ -109,3 +111,50 @@ def test_hashes_step_by_step(spark):
     rows = out.select("h", "g", "c", hash64(X, I64, 5).alias("h2"), combine(F.col("h"), F.col("g")).alias("c2"), combine(hash64(X, I64, 5), hash64(F.col("y"), I64, 6, 9)).alias("c3")).collect()
     assert out.columns == ["pos", "x", "y", "h", "g", "c"]
     assert all(r["h"] == r["h2"] and r["c"] == r["c2"] == r["c3"] for r in rows)
+
+
+def blocked(values, kind):
+    """The blocked order of one batch, written out."""
+    number = np.float32 if kind.bits == 32 else np.float64
+    lanes = R.LANES[kind.bits]
+    block = 4 * lanes
+    x = [number(-0.0) if v is None else number(v) for v in values]
+    acc = [number(0)] * block
+    whole = len(x) // block * block
+    for i in range(whole):
+        acc[i % block] += x[i]
+    total = number(0)
+    for j in range(lanes):
+        total += (acc[j] + acc[j + 2 * lanes]) + (acc[j + lanes] + acc[j + 3 * lanes])
+    for v in x[whole:]:
+        total += v
+    return total
+
+
+@pytest.mark.parametrize("kind", [F32, F64], ids=lambda k: k.name)
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 33, 64, 1000])
+def test_blocked_sums(spark, kind, n):
+    rng = random.Random(n)
+    values = [None if rng.random() < 0.1 else rng.choice([1e16, 1.0, -1e16, 0.1, rng.random()]) for _ in range(n)]
+    for parts in (1, 5):
+        got = R.sum_blocked(frame(spark, values, kind, parts) if n else frame(spark, [1.0], kind).where("pos < 0"), X, POS, kind).first()["value"]
+        assert got == float(blocked(values, kind))
+    if n == 1000:
+        sums = [blocked(values[i : i + 64], kind) for i in range(0, n, 64)]
+        got = R.batch_sums(frame(spark, values, kind, 5), X, POS, kind, 64).orderBy("batch").collect()
+        assert [r["value"] for r in got] == [float(s) for s in sums]
+        total = type(sums[0])(0)
+        for s in sums:
+            total += s
+        assert R.sum_blocked(frame(spark, values, kind, 5), X, POS, kind, 64).first()["value"] == float(total)
+        strict = type(sums[0])(0)
+        for v in values:
+            strict += type(strict)(v) if v is not None else 0
+        assert R.sum_floats(frame(spark, values, kind, 3), X, POS, kind, strict=True).first()["value"] == float(strict)
+
+
+def test_sums_of_u64_beyond_decimals(spark):
+    """The exact sum of many greatest values stays exact where a narrower decimal would be null."""
+    df = spark.range(3).select(F.lit("18446744073709551615").cast("decimal(20,0)").alias("x"))
+    assert df.agg(R.exact_sum(F.col("x"), U64)).first()[0] == 3 * ((1 << 64) - 1)
+    assert "decimal(30" not in df.agg(R.exact_sum(F.col("x"), U64).alias("s"))._jdf.queryExecution().analyzed().toString().lower()

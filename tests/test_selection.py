@@ -72,3 +72,21 @@ def test_empty_masks(spark):
     row = df.agg(S.popcount(F.col("sel")), S.all_selected(F.col("sel")), S.any_selected(F.col("sel")), S.none_selected(F.col("sel"))).first()
     assert tuple(row) == (0, True, False, True)
     assert (S.bitmap_bytes(0), S.bitmap_bytes(1), S.bitmap_bytes(8), S.bitmap_bytes(9)) == (0, 1, 1, 2)
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 70, 32768 * 2 + 3])
+def test_packed_algebra(spark, n):
+    df = spark.range(n).select(F.col("id").alias("pos"), (F.col("id") * 7 % 5 < 2).alias("a"), (F.col("id") % 3 == 1).alias("b"))
+    a, b = (S.pack(df, F.col(c), "pos", n) for c in "ab")
+    bits = lambda packed: {r["bucket"]: bytes(r["bits"]) for r in packed.collect()}
+    for op in ("and", "or", "andnot", "xor"):
+        assert bits(S.combine_packed(op, a, b)) == bits(S.pack(df, S.combine(op, F.col("a"), F.col("b")), "pos", n)), op
+    assert bits(S.invert_packed(a, n)) == bits(S.pack(df, ~F.col("a"), "pos", n))
+    with pytest.raises(ValueError):
+        S.combine_packed("nor", a, b)
+
+
+def test_ordinals_with_clashing_names(spark):
+    df = spark.range(30).selectExpr("id as pos", "1 as __run", "2 as __at", "3 as __start")
+    out = S.numbered(df.where("pos % 2 = 0"), "pos")
+    assert out.columns == [*df.columns, "ord"] and [r["ord"] for r in out.orderBy("pos").collect()] == list(range(15))
