@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import pinned
+from ._store import pinned, removed
 
 #: Ranges of hash values among which a leaf's cut is looked for; order values are below 2 ** 60.
 RANGES = 4096
@@ -99,7 +99,8 @@ def mix_sources(
 
     The total is the fraction ``share`` of all tokens. Null ids, languages and sources are values like others; null and empty
     texts have no tokens and are taken in the whole epochs of their leaf and where the prefix passes them; repeated rows are
-    taken together; an empty table gives an empty table. A column of docs of that name is replaced.
+    taken together; an empty table gives an empty table. A very long text counts with all its tokens. A column of docs of that name
+    is replaced; others may have any names.
     """
     weights = weights or {}
     key, text, language, source = names
@@ -126,7 +127,8 @@ def mix_sources(
     inside = ranged.alias("a").join(near(cuts).alias("b"), [*_same(list(TREE)), F.col("a.range") == F.col("b.range")]).select("a.*", "b.need")
     by_at = Window.partitionBy(*TREE).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     last = inside.withColumn("upto", F.sum("tokens").over(by_at)).filter("upto >= need").groupBy(*TREE).agg(F.min("at").alias("last"))
-    full = plan.alias("a").join(last.alias("b"), _same(list(TREE)), "left").select("a.*", "b.last")
+    full = pinned(plan.alias("a").join(last.alias("b"), _same(list(TREE)), "left").select("a.*", "b.last"))
+    removed(slim, plan)
     taken = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *place, identity.alias("identity")).alias("a").join(near(full).alias("b"), _same(list(TREE)))
     extra = F.when(_order(F.col("identity"), F.col("whole") + 1) <= F.col("last"), 1).otherwise(0)
     return taken.select("row.*", (F.col("whole") + extra).cast("int").alias(copies)).filter(F.col(copies) > 0)

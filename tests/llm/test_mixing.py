@@ -80,3 +80,11 @@ def test_odd_rows(spark):
     assert {r["doc_id"] for r in got.collect()} >= {5, 6, 7, 8, None}
     assert M.mix_sources(df.limit(0)).count() == 0
     assert M.mix_sources(df, weights={"source": {"src0": 0}}, epochs=1, share=(1, 1)).filter("source = 'src0'").count() == 0
+
+
+def test_joined_by_shuffles(spark, monkeypatch):
+    """The same where the plan has more leaves than are broadcast."""
+    _, df = docs(spark)
+    near = sorted(map(str, M.mix_sources(df, share=(3, 2), epochs=3).collect()))
+    monkeypatch.setattr(M, "MOST_BROADCAST", 0)
+    assert sorted(map(str, M.mix_sources(df, share=(3, 2), epochs=3).collect())) == near

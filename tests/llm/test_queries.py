@@ -69,3 +69,21 @@ def test_pipeline_with_odd_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, FOLDER).columns == docs.columns
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_stores(spark, monkeypatch):
+    """On a cluster the shared folder has to be named; written tables can be deleted, other files can't."""
+    from lanewise.llm import _store
+
+    assert _store._one_process("local[4]") and _store._one_process("local") and not _store._one_process("local-cluster[2,1,1024]") and not _store._one_process("yarn")
+    table = _store.pinned(spark.range(5))
+    kept = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    n = kept.count()
+    _store.removed(table, kept)
+    assert spark.read.parquet(f"{FOLDER}/documents.parquet").count() == n
+    import pytest
+
+    with pytest.raises(Exception, match="(?i)file|path"):
+        table.collect()
+    monkeypatch.setattr(_store, "MOST_BROADCAST", 2)
+    assert _store.near(spark.range(5)).count() == 5
