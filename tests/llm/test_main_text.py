@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lanewise.llm import main_text as M
@@ -169,7 +170,7 @@ def test_template_inside_of_articles(monkeypatch):
     some = [p.replace(BOILER, f"w{i}") if i > 4 else p for i, (_, p) in enumerate(made)]
     assert sum(BOILER in t for t in M.main_texts(some)) == 4
     # Without the array nothing goes.
-    monkeypatch.setattr(M, "covered_by", lambda page, repeated, run=8: [__import__("numpy").zeros(len(b), bool) for b in page])
+    monkeypatch.setattr(M, "covered_by", lambda page, repeated, run=8: [np.zeros(len(b), bool) for b in page])
     assert sum(BOILER in t for t in M.main_texts([p for _, p in made])) == 10
 
 
@@ -191,3 +192,23 @@ def test_template_on_spark(spark, monkeypatch, most):
     df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(5)
     for part_bytes in (400, 1 << 20) if most else (400,):
         assert sorted(map(tuple, M.extract_main_text(df, ["page_id"], part_bytes=part_bytes).collect())) == expected
+
+
+def test_query_against_a_plain_reading(spark):
+    """The given pages have one article each, in simple markup: tags of blocks are spaces, others nothing."""
+    import html
+    import re
+
+    from lanewise.llm.queries import op4_html_extraction
+
+    folder = "/root/testdata/sf0.01"
+    expected = []
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        inner = re.sub("</?(?:p|h1|h2|br|ul|li|div)[^>]*>", " ", re.sub("<!--.*?-->", "", inner, flags=re.S))
+        text = " ".join(html.unescape(re.sub("<[^>]*>", "", inner)).split())
+        expected.append((r["page_id"], r["url"], text, len(text)))
+    assert len(expected) > 200
+    got = op4_html_extraction(spark, folder)
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema] == ["page_id bigint", "url string", "text string", "n_chars bigint"]
+    assert sorted(map(tuple, got.collect())) == sorted(expected)

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from corpus import DOCS, odd_rows, sentence
 
+from lanewise.llm._store import checkpoint_folder
 from lanewise.llm.sharding import shuffle_into_shards
 
 
@@ -53,14 +55,13 @@ def test_odd_tables(spark):
 
 def test_many_identical_rows_and_a_huge_one(spark):
     """100 000 rows alike spread over all buckets; a row of many buckets' size is kept too."""
-    from lanewise.llm import sharding
-
     huge = "x" * 5_000_000
     df = spark.range(100_000).selectExpr("1L as doc_id", "'same text' as text").union(spark.createDataFrame([(2, huge)], "doc_id long, text string"))
     got = shuffle_into_shards(df, 24, bucket_bytes=(200_000, 200_000)).selectExpr("doc_id", "length(text) as n", "shard", "slot").collect()
     law_holds(got, 24, 100_001)
     assert Counter((r["doc_id"], r["n"]) for r in got) == {(1, 9): 100_000, (2, 5_000_000): 1}
-    seen = spark.read.parquet(max(__import__("glob").glob(sharding.written.__globals__["checkpoint_folder"](spark).replace("file:", "") + "/scattered-*"), key=__import__("os").path.getmtime))
+    scattered = Path(checkpoint_folder(spark).removeprefix("file:")).glob("scattered-*")
+    seen = spark.read.parquet(str(max(scattered, key=lambda f: f.stat().st_mtime)))
     buckets = [r["count"] for r in seen.selectExpr("pmod(drawn, 40) as b").groupBy("b").count().collect()]
     assert len(buckets) == 40 and max(buckets) < 1.2 * 100_001 / 40
 
