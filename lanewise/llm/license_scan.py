@@ -7,8 +7,8 @@ is at least 0.8 / (4 + 0.2), about 0.19; with BANDS = 48 bands of a single row s
 probability of over 99.99 %. A template met in a band is a match if at least 80 % of its shingles are in the window.
 
 Bands are joined with those of the templates, and so are shingles, so plans don't grow with the number of templates. Windows
-without any shingle of a template can't meet one in a band, and texts without any word of a set that hits every shingle of every
-template have no such window: both are passed over before windows are hashed, which changes no result.
+without any shingle of a template can't meet one in a band, and texts without any word of a set that is in more shingles of each
+template than a match may lack hold no match: both are passed over before windows are hashed, which changes no result.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ TEMPLATES = TEXTS | {
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Letters of a word that is taken for rare.
+LONG = 7
 #: Words that are too common to tell a text that may hold a template.
 COMMON = frozenset("a an and any are as at by do do for from in is it may not of on or so that the this to use with you your".split())
 _word = re.compile("[a-z0-9]+")
@@ -64,14 +66,24 @@ def reach_of(text: str) -> tuple[int, int]:
 
 
 def anchors(templates: dict[str, str]) -> list[str]:
-    """A small set of words of which every shingle of every template has one."""
-    left = {tuple(s.split()) for t in templates.values() for s in shingles_of(t)}
+    """A small set of words that a text with a match must hold one of: they are in more shingles of each template than a match may lack.
+
+    Long words go first, since they are rare in other texts; words of COMMON last.
+    """
+    left = {name: {tuple(s.split()) for s in shingles_of(t)} for name, t in templates.items()}
+    part, whole = CONTAINMENT
+    wanted = {name: len(x) - -(-len(x) * part // whole) + 1 for name, x in left.items() if x}
     out = []
-    while left:
-        counts = Counter(w for s in left for w in {*s} if w not in COMMON) or Counter(w for s in left for w in s)
-        best = min(counts, key=lambda w: (-counts[w], w))
+    while wanted:
+        counts = Counter(w for name in wanted for s in left[name] for w in {*s})
+        best = min(counts, key=lambda w: (w in COMMON, len(w) < LONG, -counts[w], w))
         out.append(best)
-        left = {s for s in left if best not in s}
+        for name in list(wanted):
+            held = {s for s in left[name] if best in s}
+            left[name] -= held
+            wanted[name] -= len(held)
+            if wanted[name] <= 0:
+                del wanted[name]
     return sorted(out)
 
 
@@ -132,7 +144,10 @@ def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", template
     # Windows with a shingle of a template: the two that hold its place.
     placed = hashed.select("row", "k", F.posexplode("h").alias("i", "hash")).join(near(shingles.select("k", "reach", "hash").distinct()), ["k", "hash"])
     numbers = placed.select("row", "k", "reach", F.explode(F.expr("array(i div reach, i div reach - 1)")).alias("m")).filter("m >= 0").distinct()
-    wanted = numbers.groupBy("row", "k").agg(F.collect_list(F.struct("reach", "m")).alias("windows"))
+    wanted = pinned(numbers.groupBy("row", "k").agg(F.collect_list(F.struct("reach", "m")).alias("windows")))
+    # Texts with a shingle of a template are few: the others' shingles aren't shuffled.
+    few = (wanted.agg(F.sum(F.size("windows") + 2).alias("n")).first()["n"] or 0) <= MOST_BROADCAST
+    wanted = F.broadcast(wanted) if few else wanted
     cut = hashed.join(wanted, ["row", "k"]).select("row", "k", "h", F.explode("windows").alias("at")).select("row", "k", "at.reach", "at.m", F.expr("array_distinct(slice(h, cast(at.m * at.reach as int) + 1, 2 * at.reach))").alias("window"))
     windows = pinned(cut.select("*", F.expr(_signature("window")).alias("signature")))
     bands = lambda df, *columns: df.select(*columns, "k", "reach", F.posexplode("signature").alias("band", "least"))

@@ -38,9 +38,12 @@ def test_against_brute_force(spark):
     assert sum(bool(r["licenses"]) for r in got) > 30
 
 
-def test_anchors_hit_every_shingle():
+def test_anchors_hit_more_than_a_match_may_lack():
     words = set(L.anchors(L.TEMPLATES))
-    assert all(words & set(s.split()) for t in L.TEMPLATES.values() for s in L.shingles_of(t))
+    for t in L.TEMPLATES.values():
+        shingles = L.shingles_of(t)
+        missed = sum(not words & {*s.split()} for s in shingles)
+        assert missed * 5 < len(shingles) * 4  # those without an anchor alone are no match
 
 
 def test_empty(spark):
