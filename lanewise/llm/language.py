@@ -7,10 +7,10 @@ linear up to the softmax, prediction needs only a table of BUCKETS x languages.
 
 Scores are calibrated with a temperature that fits texts kept back from training; a score under ``floor`` is a rejection.
 The floor is such that of the right answers on those texts hardly any is rejected. As the best of few languages always scores high, a
-text is rejected too if its subwords are unfamiliar: if their mean log frequency in training lies under ``least``, a quarter of the
-way from where 99 % of the pieces kept back lie under with their letters shuffled to where 99 % of the pieces themselves lie over (if
-these are apart; else there is no such bound). Texts shorter than any piece are judged by score alone, and a
-language that is spelled much like a learned one isn't told from it.
+text is rejected too if its subwords are unfamiliar: if their mean log frequency in training lies under a bound. For texts under PIECE
+letters that is where 99 % of the pieces kept back lie under with their letters shuffled; for longer ones, whose means vary less, a
+quarter of the way from there to where 99 % of the pieces themselves lie over (if these are apart; else there is no bound). Texts
+under a quarter of PIECE are judged by score alone, and a language that is spelled much like a learned one isn't told from it.
 
 Training reads a bounded sample of labelled rows: those of the least seeded hash, SAMPLE for each language at most and ROWS in all
 (so fewer for each of many languages), of the LANGUAGES most frequent labels. Of a row it reads MAX_BYTES characters: a longer text
@@ -101,6 +101,7 @@ class Model:
     accuracy: float = field(default=float("nan"))
     common: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))  # log frequency of each subword, 0 if all were alike
     least: float = float("-inf")
+    least_short: float = float("-inf")  # for texts under PIECE letters
     head: np.ndarray | None = None
 
     def __post_init__(self) -> None:
@@ -125,7 +126,7 @@ class Model:
                     total[i, first:last] += np.add.reduceat(row[bucket], edges)
         size = np.diff(at) - ENDS
         total, known = total[:-1], total[-1]
-        far = (known / (len(ORDERS) * size) < self.least) & (size >= PIECE // 8)
+        far = (known / (len(ORDERS) * size) < np.where(size < PIECE, self.least_short, self.least)) & (size >= PIECE // 4)
         mean = (total / (len(ORDERS) * size)).T
         return (mean if self.head is None else mean @ self.head) + self.bias, far
 
@@ -221,7 +222,8 @@ def train(texts: list[str], labels: list[str], seed: int = 5, rounds: int = 3, r
     if long:
         clean, odd = (np.array([model.common[x[i]].mean() for i in long]) for x in (pieces[1], noise))
         low, high = np.quantile(clean, 0.01), np.quantile(odd, 0.99)
-        model.least = float(high + (low - high) / 4) if high < low else model.least
+        if high < low:
+            model.least_short, model.least = float(high), float(high + (low - high) / 4)
     return _calibrated(model, pieces[1], np.array(classes[1], int))
 
 
