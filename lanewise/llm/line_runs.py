@@ -5,12 +5,17 @@ Lines that occur once in the whole corpus can't be in a repeated run; the rest f
 of a suffix of a segment by its first line is the number of suffixes with a smaller one. Doubling: the rank by 2 h lines is the
 rank by h lines plus the number of suffixes of equal rank whose rank h lines on is smaller. Those numbers are running sums in two
 levels, over ranges and within each, of counts that are summed before they are shuffled, so that neither the suffixes of a very
-common line, nor its followers, nor the whole array are ever sorted in one task. Suffixes of equal rank are an interval of the
-suffix array whose longest common prefix has at least h lines.
+common line, nor its followers, nor the whole array are ever sorted in one task.
 
-Doubling ends at ``min_lines``: every repeated run of that many lines or more is the union of windows of exactly that many lines,
-each in such an interval, and each window but the first of its interval (by document, then line) is a later copy. A single line
-counts as a run if it has ``min_words`` words. Lines in a later copy are deleted; neighbouring ones are reported as maximal runs.
+Doubling goes on until each suffix has a rank of its own or shares it with equal suffixes only; segments of which that holds stay
+behind on the way. Each round keeps what its new ranks are made of (rank, rank h lines on). From these the longest common prefix of
+each rank with the one before it is found, from the last round down: where both have the same first half, its lines count and the
+second halves are compared, else the first ones.
+
+Neighbours in the array that have ``min_lines`` lines in common form an interval. Every repeated run of that many lines or more is
+the union of windows of exactly that many lines, each the beginning of a suffix in such an interval, and each but the first of its
+interval (by document, then line) is a later copy. A single line counts as a run if it has ``min_words`` words; its copies are the
+intervals with one line in common. Lines in a later copy are deleted; neighbouring ones are reported as maximal runs.
 """
 
 from __future__ import annotations
@@ -32,36 +37,105 @@ def _range_bits(rows: int) -> int:
 
 
 def _first_ranks(active: DataFrame, rows: int) -> DataFrame:
-    """(line, twin, rank): the number of suffixes that begin with a smaller line id."""
+    """(line, twin, rank, n): the number of suffixes that begin with a smaller line id, and of those that begin with this one."""
     counts = active.groupBy(*_LINE).agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.shiftright("line", 64 - _range_bits(rows)))
     ranges = counts.groupBy("range").agg(F.sum("n").alias("n"))
     before = ranges.select("range", (F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     inner = Window.partitionBy("range").orderBy(*_LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = counts.select(*_LINE, "range", (F.sum("n").over(inner) - F.col("n")).alias("within"))
-    return within.join(F.broadcast(before), "range").select(*_LINE, (F.col("before") + F.col("within")).alias("rank"))
+    within = counts.select(*_LINE, "n", "range", (F.sum("n").over(inner) - F.col("n")).alias("within"))
+    return within.join(F.broadcast(before), "range").select(*_LINE, (F.col("before") + F.col("within")).alias("rank"), "n")
+
+
+def _open(length: int) -> Column:
+    """Whether a suffix may yet differ from those that share its rank by ``length`` lines; of one rank all may or none."""
+    return (F.col("n") > 1) & (F.col("last") - F.col("at") + 1 >= length)
 
 
-def _joined(ranked: DataFrame, shift: int, rows: int) -> DataFrame:
-    """Ranks by the first h lines and the h lines that begin ``shift`` lines on, h being what the ranks stand for."""
-    place = Window.partitionBy("doc", "segment").orderBy("at")
-    pairs = pinned(ranked.withColumn("next", F.coalesce(F.lead("rank", shift).over(place), F.lit(-1).cast("long"))))
+def _halves(pairs: DataFrame, rows: int) -> DataFrame:
+    """(rank, next, new, n, prior): ranks by 2 h lines, made of ranks by h lines, with their suffixes and the ``next`` before in ``rank``."""
+    width = max(1, rows >> _range_bits(rows))
+    counts = pairs.filter("open").groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.expr(f"next div {width}"))
+    outer = Window.partitionBy("rank").orderBy("range")
+    so_far = Window.unboundedPreceding, Window.currentRow
+    ranges = counts.groupBy("rank", "range").agg(F.sum("n").alias("all"), F.max("next").alias("most"))
+    before = ranges.select("rank", "range", (F.sum("all").over(outer.rowsBetween(*so_far)) - F.col("all")).alias("before"), F.lag("most").over(outer).alias("earlier"))
+    inner = Window.partitionBy("rank", "range").orderBy("next")
+    within = counts.select("rank", "range", "next", "n", (F.sum("n").over(inner.rowsBetween(*so_far)) - F.col("n")).alias("within"), F.lag("next").over(inner).alias("prior"))
+    new = F.col("rank") + F.col("before") + F.col("within")
+    return within.join(before, ["rank", "range"]).select("rank", "next", new.alias("new"), "n", F.coalesce("prior", "earlier").alias("prior"))
+
+
+def _common_lines(first: DataFrame, rounds: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(rank, lcp): the lines that suffixes of each rank have in common with those of the rank before."""
+    pairs = None
+    for length, halves in reversed(rounds):
+        found = halves.filter("prior is not null").select(F.col("new").alias("at_rank"), F.col("prior").alias("a"), F.col("next").alias("b"), F.lit(length).cast("long").alias("lcp"))
+        if pairs is not None:
+            split = pairs
+            for side in "ab":
+                split = split.join(halves.select(F.col("new").alias(side), F.col("rank").alias(f"{side}_first"), F.col("next").alias(f"{side}_next")), side, "left")
+            same = F.coalesce("a_first", "a") == F.coalesce("b_first", "b")
+            sides = [F.when(same, F.col(f"{side}_next")).otherwise(F.coalesce(f"{side}_first", side)).alias(side) for side in "ab"]
+            found = found.union(split.select("at_rank", *sides, F.when(same, F.col("lcp") + length).otherwise(F.col("lcp")).alias("lcp")))
+        found = pinned(found)
+        if pairs is not None:
+            removed(pairs)
+        pairs = found
+    starts = first.select("rank", F.lit(0).cast("long").alias("lcp"))
+    return starts if pairs is None else starts.union(pairs.select("at_rank", "lcp"))
+
+
+def suffix_array(active: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The suffixes of the segments in ``active`` (doc, key, at, line, twin, long): (doc, key, at, last, long, rank) and (rank, lcp).
+
+    ``rank`` is the number of smaller suffixes, ``last`` the last line of the suffix and ``lcp`` the number of lines in common with
+    the rank before. Equal suffixes share a rank.
+    """
+    parted = active.withColumn("segment", F.col("at") - F.row_number().over(Window.partitionBy("doc").orderBy("at")))
+    segment = Window.partitionBy("doc", "segment")
+    ends = parted.withColumn("last", F.max("at").over(segment))
+    first = near(_first_ranks(active, rows))
+    kept = ["doc", "key", "at", "segment", "last", "long"]
+    ranked = pinned(ends.join(first, _LINE).select(*kept, "rank", _open(1).alias("open")))
+    tables, settled, rounds, length = [], [], [], 1
+    while ranked.filter("open").limit(1).count():
+        shifted = ranked.withColumn("next", F.lead("rank", length, -1).over(segment.orderBy("at"))).withColumn("alive", F.max("open").over(segment))
+        pairs = pinned(shifted)
+        removed(ranked)
+        halves = near(_halves(pairs, rows))
+        rounds.append((length, halves))
+        settled.append(pairs.filter("not alive"))
+        tables.append(pairs)
+        length *= 2
+        joined = pairs.filter("alive").join(halves.select("rank", "next", "new", "n"), ["rank", "next"], "left")
+        ranked = pinned(joined.select(*kept, F.coalesce("new", "rank").alias("rank"), F.coalesce(_open(length), F.lit(False)).alias("open")))
+    whole = ranked
+    for part in settled:
+        whole = whole.unionByName(part.select(ranked.columns))
+    neighbours = pinned(_common_lines(first, rounds))
+    array = pinned(whole.select("doc", "key", "at", "last", "long", "rank"))
+    removed(ranked, first, *tables, *[halves for _, halves in rounds])
+    return array, neighbours
+
+
+def _intervals(neighbours: DataFrame, lengths: list[int], rows: int) -> DataFrame:
+    """(rank, start<length> for each length): the rank at which the interval of ranks with that many lines in common begins."""
     width = max(1, rows >> _range_bits(rows))
-    counts = pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")).withColumn("range", F.expr(f"next div {width}"))
-    outer = Window.partitionBy("rank").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = counts.groupBy("rank", "range").agg(F.sum("n").alias("all")).select("rank", "range", (F.sum("all").over(outer) - F.col("all")).alias("before"))
-    inner = Window.partitionBy("rank", "range").orderBy("next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = counts.select("rank", "range", "next", (F.sum("n").over(inner) - F.col("n")).alias("within"))
-    names = within.join(before, ["rank", "range"]).select("rank", "next", (F.col("rank") + F.col("before") + F.col("within")).alias("new"))
-    out = pinned(pairs.join(near(names), ["rank", "next"]).drop("rank", "next").withColumnRenamed("new", "rank"))
-    removed(pairs)
-    return out
+    names = [f"start{n}" for n in lengths]
+    marked = neighbours.select("rank", F.expr(f"rank div {width}").alias("range"), *[F.when(F.col("lcp") < n, F.col("rank")).alias(f"start{n}") for n in lengths])
+    so_far = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = marked.groupBy("range").agg(*[F.max(c).alias(c) for c in names])
+    before = ranges.select("range", *[F.max(c).over(so_far).alias(f"before_{c}") for c in names])
+    inner = Window.partitionBy("range").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = marked.select("rank", "range", *[F.max(c).over(inner).alias(c) for c in names])
+    return within.join(F.broadcast(before), "range").select("rank", *[F.coalesce(c, f"before_{c}").alias(c) for c in names])
 
 
-def _later(ranked: DataFrame, length: int) -> DataFrame:
-    """Suffixes of at least ``length`` lines that aren't the first of those with their rank, with ``copies``, the size of the interval."""
-    whole = ranked.filter(F.col("last") - F.col("at") + 1 >= length)
-    first = whole.groupBy("rank").agg(F.min(F.struct("key", "doc", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("rank", "first", "copies")
-    return whole.join(near(first), "rank").filter((F.col("first.doc") != F.col("doc")) | (F.col("first.at") != F.col("at")))
+def _later(array: DataFrame, length: int) -> DataFrame:
+    """Suffixes of at least ``length`` lines that aren't the first of their interval, with ``copies``, the size of the interval."""
+    whole = array.filter(F.col("last") - F.col("at") + 1 >= length).withColumnRenamed(f"start{length}", "start")
+    first = whole.groupBy("start").agg(F.min(F.struct("key", "doc", "at")).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("start", "first", "copies")
+    return whole.join(near(first), "start").filter((F.col("first.doc") != F.col("doc")) | (F.col("first.at") != F.col("at")))
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES, source: DataFrame | None = None) -> DataFrame:
@@ -75,19 +149,13 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES, source: DataFrame
     rows = active.count()
     if source is not None:
         removed(source)
-    place = Window.partitionBy("doc").orderBy("at")
-    parted = active.withColumn("segment", F.col("at") - F.row_number().over(place))
-    ends = parted.withColumn("last", F.max("at").over(Window.partitionBy("doc", "segment")))
-    ranked = pinned(ends.join(near(_first_ranks(active, rows)), _LINE).select("doc", "key", "at", "segment", "last", "long", "rank"))
-    single = pinned(_later(ranked.filter("long"), 1).select("doc", "at", "copies"))
+    array, neighbours = suffix_array(active, rows)
     removed(active)
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        before, ranked = ranked, _joined(ranked, step, rows)
-        removed(before)
-        length += step
-    windows = _later(ranked, min_lines).select("doc", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at"), "copies")
+    starts = near(_intervals(neighbours, sorted({1, min_lines}), rows))
+    placed = pinned(array.join(starts, "rank"))
+    removed(array, neighbours, starts)
+    single = _later(placed.filter("long"), 1).select("doc", "at", "copies")
+    windows = _later(placed, min_lines).select("doc", F.explode(F.sequence("at", F.col("at") + (min_lines - 1))).alias("at"), "copies")
     return single.union(windows).groupBy("doc", "at").agg(F.max("copies").alias("copies"))
 
 

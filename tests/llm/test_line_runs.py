@@ -3,7 +3,7 @@ import random
 import pytest
 from corpus import odd_rows
 
-from lanewise.llm.line_runs import remove_repeated_lines
+from lanewise.llm.line_runs import remove_repeated_lines, suffix_array
 
 
 def brute(rows, min_lines, min_words):
@@ -73,6 +73,30 @@ def test_joined_by_shuffles(spark, monkeypatch, ranges):
     assert run(spark, rows, 3, 9) == brute(rows, 3, 9)
 
 
+@pytest.mark.parametrize(("broadcast", "ranges"), [(500_000, 20), (0, 1)])
+def test_whole_suffix_array(spark, monkeypatch, broadcast, ranges):
+    """Ranks and common prefixes go on past min_lines, over segments that end alike, contain each other or hold one line over and over."""
+    from lanewise.llm import _store, line_runs
+
+    monkeypatch.setattr(_store, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(line_runs, "MOST_RANGES", ranges)
+    rng = random.Random(7)
+    passage = [rng.randrange(-4, 4) << 61 for _ in range(21)]
+    docs = [passage, passage[:], [9, *passage[3:], 9], passage[:13], [0] * 18, [0] * 7, [5], [5]] + [[rng.randrange(-2, 2) for _ in range(rng.randrange(1, 9))] for _ in range(12)]
+    rows = [(bytes([d]), d, i + 3 * (i >= 15), line, ~line, False) for d, doc in enumerate(docs) for i, line in enumerate(doc)]
+    suffixes = {}
+    for d, doc in enumerate(docs):
+        for part, shift in ((doc[:15], 0), (doc[15:], 18)):
+            suffixes |= {(d, shift + i): tuple((x, ~x) for x in part[i:]) for i in range(len(part))}
+    array, neighbours = suffix_array(spark.createDataFrame(rows, "doc binary, key long, at int, line long, twin long, long boolean").repartition(3), len(rows))
+    ordered = sorted(suffixes.values())
+    assert {(r["key"], r["at"]): r["rank"] for r in array.collect()} == {k: ordered.index(s) for k, s in suffixes.items()}
+    distinct = sorted(set(ordered))
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    want = [(ordered.index(s), common(s, before)) for s, before in zip(distinct, [(), *distinct], strict=False)]
+    assert sorted(map(tuple, neighbours.collect())) == want and max(n for _, n in want) > 8
+
+
 def test_double_spaced_passage(spark):
     """A passage of short lines with blank ones between is a run; blank lines stay."""
     passage = "\n\n".join(f"short line {i}" for i in range(20))
